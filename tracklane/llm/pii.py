@@ -177,7 +177,9 @@ def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", length: s
     spans = added.select(F.col("key").alias("__k"), F.col("h").alias("__h"), "added")
     both = survey.where(F.size("base") > 0).select(F.col("key").alias("__k"), F.col("h").alias("__h"), F.col("base").alias("added")).unionByName(spans)
     both = written(both.groupBy("__k", "__h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("added")))).alias("__spans")))
-    d = docs.join(both, docs[key].eqNullSafe(both["__k"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == both["__h"]), "left")
+    # every kind of span has a digit or an @: rows whose text has neither need no join
+    able = F.coalesce(docs[text].rlike("[0-9@]"), F.lit(False))
+    d = docs.where(able).join(both, docs[key].eqNullSafe(both["__k"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == both["__h"]), "left")
     t = docs[text]
     mark = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
@@ -185,4 +187,4 @@ def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", length: s
     new = F.aggregate("__spans", start, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece(a, s)).alias("out")), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(t, (a["at"] + 1).cast("int"))))
     d = d.withColumn("__new", F.when(F.col("__spans").isNotNull() & t.isNotNull(), new).otherwise(t))
     cols = [F.col("__new").alias(text) if c == text else F.when(F.col("__spans").isNotNull(), F.length("__new").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c == length else docs[c] for c in docs.columns]
-    return d.select(*cols)
+    return d.select(*cols).unionByName(docs.where(~able))
