@@ -86,16 +86,16 @@ WITH s AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, coalesce(length(text), 0) AS n,
     coalesce(length(translate(text, '!#$%&*|', '')), 0) AS kept,
     (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM documents),
-k AS (SELECT doc_id, source, size, -ln(u) / (1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE * (n - kept) / greatest(n, 1))) AS at FROM s),
+k AS (SELECT doc_id, source, size, -ln(u) / (1.0::DOUBLE / (1.0::DOUBLE + 20.0::DOUBLE * (n - kept) / greatest(n, 1))) AS sort_key FROM s),
 a AS (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY source),
-w AS (SELECT *, [5.0, 2.0, 1.0]::DOUBLE[][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight, 3.0::DOUBLE * source_size AS most FROM a),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, 3.0::DOUBLE * source_size AS most FROM a),
 l AS (SELECT *, most / weight AS ratio, (sum(source_size) OVER () - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
       FROM w WINDOW b AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 f AS (SELECT arg_min(level, ratio) AS level FROM l WHERE level <= ratio),
 t AS (SELECT source, source_size, least(most, coalesce((SELECT level FROM f) * weight, most)) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t),
 r AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.source_size AS budget,
-        sum(size) OVER (PARTITION BY k.source ORDER BY at, doc_id ROWS UNBOUNDED PRECEDING) AS run
+        sum(size) OVER (PARTITION BY k.source ORDER BY sort_key, doc_id ROWS UNBOUNDED PRECEDING) AS run
       FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN run <= budget OR (run - size < budget AND run - budget <= budget - (run - size)) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
 """,
