@@ -40,7 +40,7 @@ def guarded_corr(x: Column, y: Column, w: WindowSpec | None = None) -> Column:
     """Pearson correlation; 0 where a series is constant, never NaN, clipped to [-1, 1]."""
     over = (lambda c: c.over(w)) if w is not None else (lambda c: c)
     r = F.try_divide(over(F.covar_pop(x, y)), over(F.stddev_pop(x)) * over(F.stddev_pop(y)))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)), F.lit(0.0))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(r, F.lit(0.0))))  # least and greatest skip nulls
 
 
 def pairs(panel: DataFrame, node: str, time: str, value: str, ordered: bool = True) -> DataFrame:

@@ -10,10 +10,9 @@ from ..operators import series
 from .prepare import DIST
 from .views import EDGES, OBS, PANEL, TYPES, edges, obs, panel, query, r6, table, types
 
-CORR = "COALESCE(GREATEST(-1.0, LEAST(1.0, COVAR_POP(x, y) / NULLIF(STDDEV_POP(x) * STDDEV_POP(y), 0))), 0.0)"
 ROLL = """pairs AS (SELECT a.node AS i, b.node AS j, a.date, a.v AS x, b.v AS y FROM types a JOIN types b ON a.date = b.date AND a.node < b.node),
  rw AS (SELECT i, j, date, COUNT(*) OVER f AS n, COVAR_POP(x, y) OVER f / NULLIF(STDDEV_POP(x) OVER f * STDDEV_POP(y) OVER f, 0) AS r FROM pairs WINDOW f AS (PARTITION BY i, j ORDER BY date ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)),
- roll AS (SELECT i, j, date, COALESCE(LEAST(GREATEST(r, -1.0), 1.0), 0.0) AS corr FROM rw WHERE n = 10)"""
+ roll AS (SELECT i, j, date, LEAST(GREATEST(COALESCE(r, 0.0), -1.0), 1.0) AS corr FROM rw WHERE n = 10)"""
 
 
 def roll(spark, d):
@@ -42,7 +41,7 @@ def top_pos_neg(spark, d):
     return top("positive", "corr > 0", F.desc("corr")).unionByName(top("negative", "corr < 0", F.asc("corr"))).withColumn("corr", r6("corr"))
 
 
-PAIR = "pair AS (SELECT a.node AS i, b.node AS j, COALESCE(GREATEST(-1.0, LEAST(1.0, COVAR_POP(a.speed, b.speed) / NULLIF(STDDEV_POP(a.speed) * STDDEV_POP(b.speed), 0))), 0.0) AS corr, COUNT(*) AS n FROM panel a JOIN panel b ON a.date = b.date AND a.node < b.node WHERE a.node < 60 AND b.node < 60 GROUP BY 1, 2)"
+PAIR = "pair AS (SELECT a.node AS i, b.node AS j, GREATEST(-1.0, LEAST(1.0, COALESCE(COVAR_POP(a.speed, b.speed) / NULLIF(STDDEV_POP(a.speed) * STDDEV_POP(b.speed), 0), 0.0))) AS corr, COUNT(*) AS n FROM panel a JOIN panel b ON a.date = b.date AND a.node < b.node WHERE a.node < 60 AND b.node < 60 GROUP BY 1, 2)"
 
 
 def pair(spark, d):
@@ -225,7 +224,7 @@ def dcc_pair(spark, d):
     return x.select("i", "j", "lag", r6(k * F.col("corr") + (1 - k) * F.col("r")).alias("corr"))
 
 
-LAG = f"{ENUM}, lagc AS (SELECT a.node AS src, b.node AS dst, l AS lag, COUNT(*) AS n, COALESCE(GREATEST(-1.0, LEAST(1.0, COVAR_POP(a.v, b.v) / NULLIF(STDDEV_POP(a.v) * STDDEV_POP(b.v), 0))), 0.0) AS c FROM seq a, (SELECT CAST(unnest(generate_series(1, 5)) AS BIGINT) AS l) JOIN seq b ON b.k = a.k + l AND a.node <> b.node GROUP BY 1, 2, 3 HAVING COUNT(*) >= 4)"
+LAG = f"{ENUM}, lagc AS (SELECT a.node AS src, b.node AS dst, l AS lag, COUNT(*) AS n, GREATEST(-1.0, LEAST(1.0, COALESCE(COVAR_POP(a.v, b.v) / NULLIF(STDDEV_POP(a.v) * STDDEV_POP(b.v), 0), 0.0))) AS c FROM seq a, (SELECT CAST(unnest(generate_series(1, 5)) AS BIGINT) AS l) JOIN seq b ON b.k = a.k + l AND a.node <> b.node GROUP BY 1, 2, 3 HAVING COUNT(*) >= 4)"
 
 
 def lag_table(spark, d, lags=range(1, 6)):
