@@ -116,3 +116,96 @@ def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 2_000_00
         yield pd.DataFrame({"node": pd.Series(list(total), dtype="int64"), "score": pd.Series(list(total.values()), dtype="float64")})
 
     return sources.select("node").mapInPandas(run, "node bigint, score double").groupBy("node").agg(F.sum("score").alias("score"))
+
+
+def _merged(u: list, v: list, total: int) -> dict:
+    """Greedy modularity of one connected part of a graph of total edges: the two groups whose union gains most are
+    joined (ties: the smallest names) while that gains; a node's group is named by its smallest member."""
+    import heapq
+
+    near: dict = {}
+    for a, b in zip(u, v, strict=True):
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = 1
+    degree, members = {a: len(x) for a, x in near.items()}, {a: [a] for a in near}
+    age = dict.fromkeys(near, 0)
+    gain = lambda a, b: near[a][b] / total - degree[a] * degree[b] / (2 * total * total)
+    heap = [(-gain(a, b), a, b, 0, 0) for a in near for b in near[a] if a < b]
+    heapq.heapify(heap)
+    while heap:
+        g, a, b, x, y = heapq.heappop(heap)
+        if g >= 0:
+            break
+        if a not in near or b not in near or (age[a], age[b]) != (x, y):
+            continue
+        for c, w in near.pop(b).items():
+            if c != a:
+                del near[c][b]
+                near[a][c] = near[c][a] = near[a].get(c, 0) + w
+        near[a].pop(b)
+        degree[a] += degree.pop(b)
+        members[a] += members.pop(b)
+        age[a] += 1
+        for c in near[a]:
+            p, q = min(a, c), max(a, c)
+            heapq.heappush(heap, (-gain(p, q), p, q, age[p], age[q]))
+    return {m: a for a, ms in members.items() for m in ms}
+
+
+def communities(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
+    """(node, community) by greedy modularity, undirected and unweighted. Joins never cross connected components and a
+    join's gain depends on the rest by the number of edges alone, so each component is one task's work; one of over
+    most_edges edges is an error."""
+    import pandas as pd
+
+    e = kept(undirected(edges).where("u < v"))
+    total, label = e.count(), connected(e)
+    parts = e.join(label, e.u == label.node).select("component", "u", "v")
+    largest = parts.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+    if largest > most_edges:
+        raise ValueError(f"a component of {largest} edges; at most {most_edges} go to one task")
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        out = _merged(g["u"].to_list(), g["v"].to_list(), total)
+        return pd.DataFrame({"node": list(out), "community": list(out.values())})
+
+    kind = edges.schema["u"].dataType.simpleString()
+    return parts.groupBy("component").applyInPandas(run, f"node {kind}, community {kind}")
+
+
+def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: the modularity of labels (node, community)."""
+    e = undirected(edges)
+    a, b = labels.select(F.col("node").alias("u"), F.col("community").alias("cu")), labels.select(F.col("node").alias("v"), F.col("community").alias("cv"))
+    by = e.join(a, "u").join(b, "v").groupBy("cu").agg(F.count("*").alias("k"), F.count_if(F.col("cu") == F.col("cv")).alias("own"))
+    s = by.agg(F.sum("k").alias("m2"), F.sum("own").alias("own"), F.sum(F.col("k").cast("double") * F.col("k")).alias("kk"))
+    return s.select((F.try_divide("own", "m2") - F.try_divide(F.col("kk"), F.col("m2").cast("double") * F.col("m2"))).alias("modularity"))
+
+
+def zones(edges: DataFrame, places: DataFrame, links: DataFrame, seeds: DataFrame, radius: float, near: tuple[float, float], least: float, latest: int, most: int) -> DataFrame:
+    """(seed, node, score, base) of the zone around each seed. Base: nodes within two steps and the radius (metres) of
+    the seed, itself included. Added: for each base node, nodes within two steps and a distance in near whose link
+    (i, j, weight, tau) weighs least or more with |tau| at most latest. Base nodes all stay; added ones, by their
+    largest weight and then name, as long as the zone has no more than most nodes. places are (node, lat, lon)."""
+    from pyspark.sql import Window
+
+    from ..functions.measures import haversine
+
+    def around(of: DataFrame) -> DataFrame:
+        """(a, b, metres): b within two steps of a, both ways along edges."""
+        both = undirected(edges)
+        one = of.join(both, of.a == both.u).select("a", F.col("v").alias("b"))
+        two = one.join(both, one.b == both.u).select("a", F.col("v").alias("b"))
+        p = lambda x: places.select(F.col("node").alias(x), F.col("lat").alias(f"lat_{x}"), F.col("lon").alias(f"lon_{x}"))
+        met = one.union(two).where("a <> b").distinct().join(p("a"), "a").join(p("b"), "b")
+        return met.select("a", "b", haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")).alias("metres"))
+
+    start = seeds.select(F.col("node").alias("a")).distinct()
+    base = kept(around(start).where(F.col("metres") <= radius).select(F.col("a").alias("seed"), F.col("b").alias("node")).union(start.select("a", "a")).distinct())
+    found = around(base.select(F.col("node").alias("a")).distinct()).where(F.col("metres").between(*near))
+    found = found.join(links, (F.col("a") == links.i) & (F.col("b") == links.j)).where((F.col("weight") >= least) & (F.abs("tau") <= latest))
+    more = base.join(found, base.node == found.a).select("seed", F.col("b").alias("node"), "weight").groupBy("seed", "node").agg(F.max("weight").alias("score"))
+    more = more.join(base, ["seed", "node"], "left_anti")
+    sized = base.groupBy("seed").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("score"), "node"))
+    more = more.withColumn("place", place).join(sized, "seed").where(F.col("place") <= most - F.col("n"))
+    return base.select("seed", "node", F.lit(None).cast("double").alias("score"), F.lit(True).alias("base")).unionAll(more.select("seed", "node", "score", F.lit(False)))

@@ -1,4 +1,4 @@
 """All queries and their SQL, by name."""
 
-from . import panels, prepare, relations  # noqa: F401
+from . import models, panels, prepare, relations  # noqa: F401
 from .views import QUERIES, SQL  # noqa: F401
