@@ -230,29 +230,33 @@ def forecast_actions(latents: DataFrame, values: DataFrame, bases: Bases, mean:
 # Recursive least squares: coefficients that change along a session.
 
 
-def rls_step(theta: np.ndarray, p: np.ndarray, x: np.ndarray, y: np.ndarray, forgetting: float) -> tuple[np.ndarray, np.ndarray]:
-    px = p @ x
-    gain = px / max(forgetting + x @ px, 1e-12)
-    p = (p - np.outer(gain, px)) / forgetting
-    return theta + np.outer(gain, y - x @ theta), (p + p.T) / 2
+class Recursion:
+    """Coefficients theta = [c phi'] of a session, which start at (c, phi); kept stable after each step."""
+
+    def __init__(self, c: np.ndarray, phi: np.ndarray, ridge: float = 1e-2, forgetting: float = 0.98):
+        self.theta, self.p = np.vstack([c, stable(phi).T]), np.eye(len(c) + 1) / max(ridge, 1e-4)
+        self.before, self.forgetting = None, forgetting
+
+    def take(self, z: np.ndarray) -> np.ndarray:
+        """Takes the next latent and gives theta as known then."""
+        if self.before is not None:
+            x = np.concatenate([[1.0], self.before])
+            px = self.p @ x
+            gain = px / max(self.forgetting + x @ px, 1e-12)
+            theta = self.theta + np.outer(gain, z - x @ self.theta)
+            p = (self.p - np.outer(gain, px)) / self.forgetting
+            self.theta, self.p = np.vstack([theta[0], stable(theta[1:].T).T]), (p + p.T) / 2
+        self.before = z
+        return self.theta
 
 
 def time_varying(latents: DataFrame, c: np.ndarray, phi: np.ndarray, ridge: float = 1e-2, forgetting: float = 0.98) -> DataFrame:
-    """(session, t, theta): [c phi'] row by row, known at t. Each session starts at (c, phi) and its coefficients are
-    kept stable; a session is one task's work, a day of slots."""
-    d = len(c)
-    start = np.vstack([c, stable(phi).T])
+    """(session, t, theta): Recursion's coefficients, row by row, as known at t. A session, such as a day of slots, is
+    one task's work."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("t")
-        theta, p, before, out = start, np.eye(d + 1) / max(ridge, 1e-4), None, []
-        for z in map(np.asarray, g["z"]):
-            if before is not None:
-                theta, p = rls_step(theta, p, np.concatenate([[1.0], before]), z, forgetting)
-                theta = np.vstack([theta[0], stable(theta[1:].T).T])
-            before = z
-            out.append(theta.ravel())
-        return pd.DataFrame({"session": g["session"], "t": g["t"], "theta": out})
+        g, r = g.sort_values("t"), Recursion(c, phi, ridge, forgetting)
+        return pd.DataFrame({"session": g["session"], "t": g["t"], "theta": [r.take(np.asarray(z)).ravel() for z in g["z"]]})
 
     return latents.groupBy("session").applyInPandas(run, "session string, t bigint, theta array<double>")
 

@@ -8,8 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import forecast, graphs, matrices, series
+from ..sources import stores
 from .prepare import DIST
-from .relations import pair, roll
+from .relations import ROLL, pair, roll
 from .views import EDGES, OBS, TYPES, edges, obs, query, r6, table, types
 
 HORIZONS = [1, 3, 6, 9]
@@ -80,6 +81,14 @@ def sample_pairs(spark, d):
     return series.ranked(p, ["date"], ["h", "i", "j"], 3).select("i", "j", "date")
 
 
+@query("matrix_bundle", f"WITH {TYPES}, {ROLL} SELECT i, j, CAST(date_diff('day', DATE '1970-01-01', date) AS BIGINT) AS t, ROUND(corr, 6) + 0.0 AS corr FROM roll")
+def matrix_bundle(spark, d):
+    """Rolling correlations stored as matrices and read back."""
+    snaps, nodes = undirected_snapshots(spark, d)
+    back = stores.unbundled(graphs.kept(stores.matrix_bundle(snaps, "double")))
+    return matrices.long_rows(back, nodes).select("i", "j", "t", r6("value").alias("corr"))
+
+
 @query("nearest_corr", None)
 def nearest_corr(spark, d):
     snaps, nodes = undirected_snapshots(spark, d)
