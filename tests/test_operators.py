@@ -44,3 +44,12 @@ def test_betweenness_of_a_path(spark):
     e = frame(spark, [(0, 1), (1, 2), (2, 3)], "u bigint, v bigint")
     got = {r.node: r.score for r in graphs.betweenness(e, frame(spark, [(i,) for i in range(4)], "node bigint")).collect()}
     assert got == {1: 2.0, 2: 2.0, 3: 0.0}
+
+
+def test_positions_run_over_all_ranges(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(0, 5000, 1, 7).select((F.col("id") * 7919 % 5003).alias("x"), F.lit("s").alias("s"))
+    got = [(r.x, r.idx) for r in graphs.indexed(df, ["x"]).collect()]
+    assert [x for x, _ in sorted(got, key=lambda g: g[1])] == sorted(x for x, _ in got) and sorted(i for _, i in got) == list(range(5000))
+    assert graphs.indexed(df.limit(0), ["x"]).count() == 0

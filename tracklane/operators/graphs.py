@@ -25,12 +25,21 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct()
 
 
-def reindexed(edges: DataFrame) -> DataFrame:
-    """Distinct end points with a dense index in their order. The index is counted by range, not in one task."""
+def indexed(df: DataFrame, order: list[str], name: str = "idx") -> DataFrame:
+    """df with each row's position, from 0, in an order. Rows are dealt by ranges of it, sorted and numbered within
+    each, and moved up by the counts of the ranges before, so no task gets all; order should tell rows apart."""
     from pyspark.sql import Window
 
-    nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    return nodes.withColumn("idx", (F.row_number().over(Window.orderBy("node")) - 1).cast("bigint"))
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1).cast("long"))
+    rows = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__range", F.spark_partition_id()).withColumn("__at", at))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    start = rows.groupBy("__range").agg(F.count("*").alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    return rows.join(F.broadcast(start), "__range").withColumn(name, F.col("__start") + F.col("__at")).drop("__range", "__at", "__n", "__start")
+
+
+def reindexed(edges: DataFrame) -> DataFrame:
+    """Distinct end points with a dense index in their order."""
+    return indexed(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), ["node"])
 
 
 def hops(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:

@@ -54,7 +54,7 @@ def edge_attrs(spark, d):
 def align_semi(spark, d):
     e = edges(spark, d)
     k = e.join(e.where("length_m > 200").select(F.col("v").alias("u")), "u", "left_semi").select("u")
-    return k.withColumn("pos", (F.row_number().over(Window.orderBy("u")) - 1).cast("bigint"))
+    return graphs.indexed(k, ["u"], "pos")
 
 
 @query("align_anti", f"WITH {EDGES} SELECT u FROM edges WHERE u NOT IN (SELECT v FROM edges WHERE length_m > 200)")
@@ -345,8 +345,8 @@ def cumcount(spark, d):
 def ts_index(spark, d):
     """Ranked over the distinct keys, whose number is that of time slots, and joined back."""
     o = obs(spark, d)
-    k = o.select("date", "slot").distinct().withColumn("ts_idx", (F.row_number().over(Window.orderBy("date", "slot")) - 1).cast("bigint"))
-    return o.join(F.broadcast(k), ["date", "slot"]).select("event_id", "ts_idx")
+    k = graphs.indexed(o.select("date", "slot").distinct(), ["date", "slot"], "ts_idx")
+    return o.join(k, ["date", "slot"]).select("event_id", "ts_idx")
 
 
 @query("order_ts", f"WITH {OBS} SELECT event_id, date, slot, ROW_NUMBER() OVER (PARTITION BY date ORDER BY slot, event_id) AS n FROM obs")
