@@ -53,3 +53,10 @@ def test_positions_run_over_all_ranges(spark):
     got = [(r.x, r.idx) for r in graphs.indexed(df, ["x"]).collect()]
     assert [x for x, _ in sorted(got, key=lambda g: g[1])] == sorted(x for x, _ in got) and sorted(i for _, i in got) == list(range(5000))
     assert graphs.indexed(df.limit(0), ["x"]).count() == 0
+
+
+def test_sampled_betweenness_of_a_star_is_exact_with_all_sources(spark):
+    e = frame(spark, [(0, k) for k in range(1, 6)] + [(3, 0), (2, 2)], "u bigint, v bigint")
+    got = {r.node: r.score for r in graphs.sampled_betweenness(e).collect()}
+    assert got == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0}
+    assert {r.node: r.score for r in graphs.sampled_betweenness(e, 0.1, 2).collect()}.keys() == got.keys()

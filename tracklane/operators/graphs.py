@@ -127,6 +127,19 @@ def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 2_000_00
     return sources.select("node").mapInPandas(run, "node bigint, score double").groupBy("node").agg(F.sum("score").alias("score"))
 
 
+def sampled_betweenness(edges: DataFrame, share: float = 0.1, least: int = 100, seed: int = 42) -> DataFrame:
+    """(node, score) of the undirected graph, estimated from max(least, share of all) nodes in the order of a seeded
+    hash as sources and scaled to all pairs, so scores lie between 0 and 1. Nodes on no path have 0."""
+    both = kept(undirected(edges))
+    nodes = both.select(F.col("u").alias("node")).distinct()
+    n = nodes.count()
+    k = min(n, max(least, int(share * n)))
+    picked = nodes.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "node")), "node").limit(k)
+    score = betweenness(both, picked)
+    scale = n / (max(k, 1) * max((n - 1) * (n - 2), 1))
+    return nodes.join(score, "node", "left").select("node", (F.coalesce("score", F.lit(0.0)) * scale).alias("score"))
+
+
 def _merged(u: list, v: list, total: int) -> dict:
     """Greedy modularity of one connected part of a graph of total edges: the two groups whose union gains most are
     joined (ties: the smallest names) while that gains; a node's group is named by its smallest member."""

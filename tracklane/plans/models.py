@@ -176,6 +176,11 @@ def arma(spark, d):
     return forecast.arma_forecast(types(spark, d), "node", "date", "v")
 
 
+@query("sampled_betweenness", None)
+def sampled_betweenness(spark, d):
+    return graphs.sampled_betweenness(edges(spark, d))
+
+
 @query("communities", None)
 def communities(spark, d):
     return graphs.communities(edges(spark, d))
