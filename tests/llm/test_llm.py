@@ -307,3 +307,37 @@ def test_pipeline_stages(spark, table):
             assert not any(plain_spans(r.text) for r in docs.collect())
     assert seen[0] >= 0.95 * table.count() and seen[1] < seen[0] and seen[2] == seen[1]
     assert docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
+
+
+def test_near_duplicates_in_large_buckets(spark):
+    """Edited copies of an absent original, and unlike texts around a shared passage with a few copies among them:
+    groups are the components of all pairs that are similar enough by the same estimate."""
+    r = np.random.default_rng(5)
+    word = lambda n: [f"w{x}" for x in r.integers(0, 50000, n)]
+    original, passage, texts = word(200), word(120), []
+    for i in range(70):
+        copy = list(original)
+        for at in r.choice(200, 2 + i % 3, replace=False):
+            copy[at] = f"edit{i}x{at}"
+        texts.append(copy)
+    for i in range(70):
+        own = passage + word(60)
+        texts.append(own)
+        if i % 10 == 0:
+            texts.append(own[:-1] + ["other"])
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    hashes = [np.unique(simhash.shingle_hashes(common.words_of(" ".join(t)), 5)) for t in texts]
+    wide = np.array([simhash.wide_fingerprint(h) for h in hashes]).view(np.uint64)
+    sizes = np.array([len(h) for h in hashes], float)
+    distance = np.bitwise_count(wide[:, None] ^ wide[None]).sum(-1)
+    shared = np.minimum(np.maximum(np.cos(np.pi / simhash.WIDE * distance), 0) * np.sqrt(np.outer(sizes, sizes)), np.minimum.outer(sizes, sizes))
+    near = shared / (np.add.outer(sizes, sizes) - shared) >= 0.77
+    group = np.arange(len(texts))
+    while True:
+        least = np.where(near, group[None], len(texts)).min(1)
+        if (least == group).all():
+            break
+        group = least
+    got = {r.key: r.group for r in simhash.duplicates(frame).collect()}
+    assert got == dict(enumerate(group.tolist()))
+    assert 10 < len(set(got.values())) < len(texts)

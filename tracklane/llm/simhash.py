@@ -13,7 +13,7 @@ no bucket grows with the corpus. Each member is linked to the key's smallest one
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -141,14 +141,45 @@ def similarity(distance, n1, n2):
     return F.when(n1 + n2 > 0, common / (n1 + n2 - common)).otherwise(1.0)
 
 
+def settled(members: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame], ratio: float) -> DataFrame:
+    """found (node, root) with the links that leaders left out in the buckets of members (stratum, sig, n).
+
+    A pair can be missing only between two components of a bucket, so one of the two is a stray: outside the bucket's
+    largest component. Each round compares about SMALL strays of a bucket, and four times as many the next time, with
+    the bucket's members of other components whose sizes allow the similarity, until all strays of each bucket have
+    been compared. Merged components leave fewer strays. Buckets that mostly hold strays share a passage rather than
+    an origin; after a first round, their pairs must agree in a second such bucket.
+    """
+    limit, first = SMALL, True
+    while True:
+        roots = members.join(found, members.sig == found.node, "left").select("stratum", "sig", "n", F.coalesce("root", "sig").alias("root"))
+        counts = roots.groupBy("stratum", "root").count().groupBy("stratum").agg(F.sum("count").alias("k"), F.max(F.struct("count", "root")).alias("top"))
+        counts = counts.select("stratum", "k", (F.col("k") - F.col("top.count")).alias("strays"), F.col("top.root").alias("main")).where("strays > 0")
+        apart = written(roots.join(counts, "stratum"))
+        if apart.isEmpty():
+            return found
+        chosen = apart.where("root <> main").where(F.pmod(F.xxhash64("sig", "stratum"), "strays") < limit)
+        chosen = chosen.select("stratum", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        others = apart.select("stratum", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+        pairs = chosen.join(others, "stratum").where("ra <> rb").where(F.least("na", "nb") >= ratio * F.greatest("na", "nb")).select("a", "b")
+        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified(pairs)))
+        left = apart.where(F.col("strays") > limit)
+        if first:
+            shared = left.where("2 * strays >= k").select("stratum", "sig", "n")
+            second = shared.select(F.col("stratum").alias("other"), F.col("sig").alias("same"))
+            both = shared.join(second, (shared.sig == second.same) & (shared.stratum < second.other))
+            left = left.where("2 * strays < k").select("stratum", "sig", "n").unionAll(both.select(F.xxhash64("stratum", "other").alias("stratum"), "sig", "n"))
+        members, limit, first = left.select("stratum", "sig", "n"), limit * 4, False
+
+
 def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8, slack: float = 0.03) -> DataFrame:
     """Rows (key, h, group, n_rows): one for each distinct key and text, with the smallest key of its group and how
     often the row occurs. Documents whose sets of shingles have a similarity of least or more (as estimated, less
     slack, about one standard error) are linked; groups are components of links.
 
     In a table key's bucket, members are compared with the member of highest degree (an original is in more buckets
-    than its edited copies are) and with the smallest; buckets of up to SMALL members compare all pairs. Texts
-    without words are alike.
+    than its edited copies are) and with the smallest; buckets of up to SMALL members compare all pairs. What this
+    leaves apart in larger buckets is settled() afterwards. Texts without words are alike.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -164,7 +195,7 @@ def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     d = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("h"))
     rows = written(d.mapInPandas(run, f"key {kind}, h long, wide array<long>, n long, strata array<long>").withColumn("sig", F.xxhash64("wide", "n")))
     sets = written(rows.dropDuplicates(["sig"]).select("sig", "wide", "n", "strata"))
-    members = sets.select(F.explode(F.array_distinct("strata")).alias("stratum"), "sig")
+    members = sets.select(F.explode(F.array_distinct("strata")).alias("stratum"), "sig", "n")
     buckets = members.groupBy("stratum").agg(F.count("*").alias("size")).where("size > 1")
     members = written(members.join(buckets, "stratum"))
     degree = members.groupBy("sig").agg(F.sum("size").alias("degree"))
@@ -172,11 +203,16 @@ def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     stars = members.select("stratum", "sig").join(lead, "stratum").select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("sig").alias("b"))
     few = members.where(F.col("size") <= SMALL).select("stratum", "sig")
     pairs = few.select("stratum", F.col("sig").alias("a")).join(few.select("stratum", F.col("sig").alias("b")), "stratum").select("a", "b")
-    pairs = stars.unionAll(pairs).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     side = lambda x: sets.select(F.col("sig").alias(x), F.col("wide").alias(f"w{x}"), F.col("n").cast("double").alias(f"n{x}"))
-    checked = pairs.join(side("a"), "a").join(side("b"), "b")
-    distance = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    found = components(checked.where(similarity(distance, F.col("na"), F.col("nb")) >= least - slack).select("a", "b"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        checked = pairs.join(side("a"), "a").join(side("b"), "b")
+        distance = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        return checked.where(similarity(distance, F.col("na"), F.col("nb")) >= least - slack).select("a", "b")
+
+    found = components(verified(stars.unionAll(pairs)))
+    found = settled(members.where(F.col("size") > SMALL).select("stratum", "sig", "n"), found, verified, least - slack)
     of_sig = rows.groupBy("sig").agg(F.min("key").alias("least"))
     roots = written(of_sig.join(found, of_sig.sig == found.node, "left").select("sig", "least", F.coalesce("root", "sig").alias("root")))
     by_root = roots.groupBy("root").agg(F.min("least").alias("group"))
