@@ -102,7 +102,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
 # SimHash of its own as a table key; copies agree in a stratum that their edits did not touch. Matches are verified
 # by the complete distance of wide fingerprints of all shingles.
 
-WIDE, STRATA, PER_STRATUM, SMALL = 1024, 16, 3, 16
+WIDE, STRATA, PER_STRATUM, SMALL, TURNS = 1024, 16, 3, 16, 1 << 20
 
 
 def strata_fingerprints(hashes: np.ndarray) -> list[int]:
@@ -147,7 +147,8 @@ def settled(members: DataFrame, found: DataFrame, verified: Callable[[DataFrame]
     A pair can be missing only between two components of a bucket, so one of the two is a stray: outside the bucket's
     largest component. Each round compares about SMALL strays of a bucket, and four times as many the next time, with
     the bucket's members of other components whose sizes allow the similarity, until all strays of each bucket have
-    been compared. Merged components leave fewer strays. Buckets that mostly hold strays share a passage rather than
+    been compared. A stray leaves the bucket once compared, and is chosen by a hash of its own, so that a pair of
+    several buckets mostly falls in one round. Merged components leave fewer strays. Buckets that mostly hold strays share a passage rather than
     an origin; after a first round, their pairs must agree in a second such bucket.
     """
     limit, first = SMALL, True
@@ -158,12 +159,12 @@ def settled(members: DataFrame, found: DataFrame, verified: Callable[[DataFrame]
         apart = written(roots.join(counts, "stratum"))
         if apart.isEmpty():
             return found
-        chosen = apart.where("root <> main").where(F.pmod(F.xxhash64("sig", "stratum"), "strays") < limit)
-        chosen = chosen.select("stratum", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+        turn = (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("sig"), F.lit(TURNS)) * F.col("strays") < limit * TURNS)
+        chosen = apart.where(turn).select("stratum", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
         others = apart.select("stratum", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
         pairs = chosen.join(others, "stratum").where("ra <> rb").where(F.least("na", "nb") >= ratio * F.greatest("na", "nb")).select("a", "b")
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified(pairs)))
-        left = apart.where(F.col("strays") > limit)
+        left = apart.where(F.col("strays") > limit).where(~turn)
         if first:
             shared = left.where("2 * strays >= k").select("stratum", "sig", "n")
             second = shared.select(F.col("stratum").alias("other"), F.col("sig").alias("same"))
