@@ -96,7 +96,7 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     return fps.join(of_fp, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by similarity of shingle sets. At a Jaccard similarity of 0.8 a seventh of a SimHash's bits differ,
+# Near-duplicates by estimated similarity of shingle sets; deduplicated() uses the exact ones of jaccard.py. At a Jaccard similarity of 0.8 a seventh of a SimHash's bits differ,
 # which balls of any affordable radius in a 64-bit fingerprint miss. So a document gets several fingerprints: its
 # distinct shingles are divided into strata by their hashes, about four in each, and each of the first strata has a
 # SimHash of its own as a table key; copies agree in a stratum that their edits did not touch. Matches are verified
@@ -224,7 +224,9 @@ def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
     """docs with one row of each group of near-duplicates: the one with the smallest key; of several rows with that
     key, one of the text with the least hash. Columns are those of docs; groups of null keys alone keep one row."""
-    groups = duplicates(docs, text, key, shingle, least)
+    from . import jaccard
+
+    groups = jaccard.duplicates(docs, text, key, shingle, least)
     best = groups.where(F.col("key").eqNullSafe(F.col("group")))
     # a key may have several texts in one group
     best = written(best.groupBy("key", "group").agg(F.min_by(F.struct("h", "n_rows"), F.struct(F.col("h").isNull(), F.col("h"))).alias("x")).select(F.col("key").alias("__k"), F.col("x.h").alias("__h"), F.col("x.n_rows").alias("__n")))
