@@ -38,3 +38,16 @@ def test_copies_among_texts_around_a_passage(spark):
     want = kept(texts)
     assert len(want) == 150
     assert got(spark, texts) == want
+
+
+def test_short_copies_are_found(spark):
+    """One word appended or changed at the end, in texts of 1 to 30 words."""
+    r = np.random.default_rng(4)
+    texts = []
+    for n in range(1, 31):
+        for _ in range(4):
+            own = words(r, n)
+            texts += [" ".join(own), " ".join(own + ["more"]), " ".join(own[:-1] + ["other"])]
+    want = kept(texts)
+    assert 120 < len(want) < 360
+    assert got(spark, texts) == want
