@@ -51,3 +51,19 @@ def test_short_copies_are_found(spark):
     want = kept(texts)
     assert 120 < len(want) < 360
     assert got(spark, texts) == want
+
+
+def test_links_are_decided_exactly(spark):
+    """Pairs a little below a similarity of 4/5 stay, those at it or a little above don't."""
+    r = np.random.default_rng(5)
+    texts = []
+    for n in (200, 400):
+        for share in (0.78, 0.79, 0.799, 0.8, 0.801, 0.81):
+            for _ in range(4):
+                # of n shingles each, the first c are common: similarity c / (2 n - c)
+                c = round(2 * n * share / (1 + share))
+                own = words(r, n + 4)
+                texts += [" ".join(own), " ".join(own[: c + 4] + words(r, n - c))]
+    want = kept(texts)
+    assert 48 < len(want) < 96
+    assert got(spark, texts) == want
