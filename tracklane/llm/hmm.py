@@ -3,7 +3,7 @@
 Latent states emit classes of words: a class is a hash of a word's first and last two bytes and its length (up to 7),
 so that short words have a class of their own and unseen long words share one with words of like form. A word is
 drawn within its class by its corpus count plus a half. States are trained by Baum-Welch: expected counts of each
-partition are summed over partitions; early rounds run over a bounded sample, the last one over all training texts.
+partition are summed over partitions; every round runs over all training texts.
 A text's probability is exact: the forward recursion, scaled, over the whole text and its end.
 
 Word counts of the whole corpus are looked up without a table that each task holds: texts are dealt to blocks, each
@@ -20,10 +20,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, dropped, plain, shuffle_partitions, word_spans, written
+from .common import LOWER_BYTES, plain, shuffle_partitions, word_spans, written
 
-#: STATES x CLASSES numbers are all that a task holds of the model. SAMPLE texts at most are read in each early round.
-STATES, CLASSES, SAMPLE, EARLY, PRIOR, CHUNK, BLOCK_BYTES = 6, 4096, 4000, 10, 20.0, 64, 8_000_000
+#: STATES x CLASSES numbers are all that a task holds of the model.
+STATES, CLASSES, ROUNDS, PRIOR, CHUNK, BLOCK_BYTES = 6, 4096, 11, 20.0, 64, 8_000_000
 END = b""
 
 
@@ -234,14 +234,9 @@ def scored(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
     share = within / within.sum()
     model = initial(share)
     if n_train:
-        few: list[str] = []
         learn = d.where("train").select("key", "text")
-        sample = learn.where(F.pmod(F.xxhash64("key", "text"), F.lit(1 << 20)) < F.lit(_rate(d)))
-        sample = written(sample.repartition(shuffle_partitions(docs.sparkSession)), few)
-        for _ in range(EARLY):
-            model, _fit = baum_welch_round(sample, model, share)
-        dropped(docs.sparkSession, few)
-        model, _fit = baum_welch_round(learn, model, share)
+        for _ in range(ROUNDS):
+            model, _fit = baum_welch_round(learn, model, share)
     base = float(np.log10(n_train + 0.5 * (v_train + 1)))
     sent = docs.sparkSession.sparkContext.broadcast((model, np.log10(within)))
 
@@ -267,9 +262,3 @@ def scored(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
     kind = d.schema["key"].dataType.simpleString()
     out = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(score, f"key {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("key", key)
-
-
-def _rate(d: DataFrame) -> int:
-    """Of 2^20 hash values of a text, how many are in the sample, so that it has about SAMPLE rows."""
-    n = d.where("train").count()
-    return (1 << 20) if n <= SAMPLE else max(1, (SAMPLE << 20) // n)
