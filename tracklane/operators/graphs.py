@@ -2,23 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def kept(df: DataFrame) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir: cuts the lineage of iterative work."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracklane-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/g-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..shared import components, written as kept
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -54,22 +41,10 @@ def hops(edges: DataFrame, sources: DataFrame, most: int) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node of each connected component. Labels take the least of their neighbours'
-    and then the label of their label, until none changes."""
-    both = undirected(edges)
-    both = kept(both)
+    """(node, component): the smallest node of each connected component; a node whose links are to itself alone is one."""
     nodes = edges.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    label = kept(nodes.withColumn("component", F.col("node")))
-    while True:
-        near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("component").alias("near"))
-        best = label.join(near, label.node == near.u, "left").select("node", "component", F.least("component", "near").alias("new"))
-        jump = best.select(F.col("node").alias("of"), F.col("new").alias("far"))
-        new = best.join(jump, best.new == jump.of).select("node", "component", F.least("new", "far").alias("new"))
-        new = kept(new)
-        changed = new.where("new <> component").limit(1).count()
-        label = new.select("node", F.col("new").alias("component"))
-        if not changed:
-            return label
+    roots = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b"))).select(F.col("node").alias("__n"), "root")
+    return nodes.join(roots, nodes.node == roots["__n"], "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 64) -> DataFrame:
