@@ -8,7 +8,6 @@ open bin is left, the fullest closes first.
 
 from __future__ import annotations
 
-import base64
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,11 +25,12 @@ SAME_CLASSES = 0x250
 
 
 def tokenizer(path: str):
-    """A function of a text that gives its ids under the vocabulary file (tokenizers' JSON), special strings as text.
+    """A function of a text that gives its ids under the vocabulary file (tokenizers' JSON), as tokenizers itself does
+    without adding special tokens; the strings of added tokens in a text are these tokens.
 
     A byte-level BPE file whose pre-tokenizer is the usual one is applied through the same merges in tiktoken, which
-    is five times as fast, for texts of code points below SAME_CLASSES; other texts, and other files, through
-    tokenizers itself. Kept by the worker process, beside the library's own module.
+    is five times as fast, for texts of code points below SAME_CLASSES without an added token's string; other texts,
+    and other files, through tokenizers itself. Kept by the worker process, beside the library's own module.
     """
     import tiktoken
     import tokenizers
@@ -41,7 +41,6 @@ def tokenizer(path: str):
     import json
 
     full = tokenizers.Tokenizer.from_file(path)
-    full.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     slow = lambda t: full.encode(t, add_special_tokens=False).ids
@@ -52,8 +51,9 @@ def tokenizer(path: str):
         return slow
     # bytes as the printable characters of byte-level vocabularies: visible ones stand for themselves, others are from 256 on
     seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    added = [t["content"] for t in spec.get("added_tokens") or []]
     chars = {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in seen)}
-    ranks = {bytes(chars[c] for c in token): i for token, i in model["vocab"].items() if all(c in chars for c in token) and token != "<|endoftext|>"}
+    ranks = {bytes(chars[c] for c in token): i for token, i in model["vocab"].items() if all(c in chars for c in token) and token not in added}
     # in rank order, ids of merged tokens ascend with their merges, so that both libraries merge in the same order
     merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
     if merged != sorted(merged):
@@ -64,7 +64,8 @@ def tokenizer(path: str):
     limit = chr(SAME_CLASSES)
 
     def encode(text: str) -> list[int]:
-        return quick.encode_ordinary(text) if text.isascii() or max(text) < limit else slow(text)
+        plain = (text.isascii() or max(text) < limit) and not any(a in text for a in added)
+        return quick.encode_ordinary(text) if plain else slow(text)
 
     kept[path] = encode
     return encode
@@ -125,7 +126,7 @@ def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, open_bins: int
 
     Every row of docs is packed, repeated ones and those with a null key too; an empty table gives no rows.
     """
-    p = written(pieces(docs, path, capacity, text, key))
+    p = written(pieces(docs, path, capacity, text, key))  # the caller's result reads this table, so it stays
     packers = -(-p.count() // PER_PACKER) or 1
     dealt = p.repartition(packers, F.xxhash64(key, "piece", "ids_crc32")).sortWithinPartitions(F.desc("length"), key, "piece", "ids_crc32")
 
