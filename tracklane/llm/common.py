@@ -1,44 +1,17 @@
-"""Shared helpers: tables in the shared folder, connected components, byte-level words."""
+"""Shared helpers: folds, byte-level words and their hashes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORD = r"[^\x20\x09-\x0D]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
+from ..shared import components, dropped, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tracklane-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
+__all__ = ["components", "dropped", "shared_dir", "written"]
 
-
-def written(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: lineage is cut and lost executors cost one reread.
-    The table's path is appended to keep, for dropped()."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/t-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if keep is not None:
-        keep.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def dropped(spark: SparkSession, paths: list[str]) -> None:
-    """Delete tables that nothing reads any more."""
-    for path in paths:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    paths.clear()
+WORD = r"[^\x20\x09-\x0D]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -59,38 +32,6 @@ def fold(column: Column, modulus: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus)), F.lit(0)).cast("int")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of edges (a, b): rows (node, root), root the smallest node of the component.
-
-    Alternating large-star and small-star steps (a number of rounds logarithmic in the size of a component).
-    Each step is a minimum by node, combined before the shuffle, and an equi-join, whose hot keys AQE splits;
-    each round's edges are a table in the shared folder. Nulls and self-links are ignored.
-    """
-    spark = edges.sparkSession
-    old: list[str] = []
-    e = edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).where("u < v").distinct()
-    e = written(e, now := [])
-    before = None
-    while True:
-        # large star: every larger neighbour of a node is linked to the node's smallest neighbour (or itself)
-        both = e.select("v", "u").unionAll(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
-        low = both.groupBy("v").agg(F.min("u").alias("m")).select("v", F.least("v", "m").alias("m"))
-        large = both.where("u > v").join(low, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).where("u < v").distinct()
-        # small star: a node's smaller neighbours and itself are linked to the smallest of them
-        low = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = large.join(low, "v")
-        e = small.select(F.col("u").alias("v"), F.col("m").alias("u")).unionAll(low.select("v", F.col("m").alias("u"))).where("u < v").distinct()
-        old += now
-        e = written(e, now := [])
-        after = e.agg(F.count("*"), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        dropped(spark, old)
-        if after == before:
-            break
-        before = after
-    roots = e.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct()
-    return e.select(F.col("v").alias("node"), F.col("u").alias("root")).unionAll(roots)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Lower-cased (A-Z) words of the bytes; bytes.split() splits on exactly space and 09-0D."""
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -127,3 +68,20 @@ def mixed(h: np.ndarray) -> np.ndarray:
         h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         return h ^ (h >> np.uint64(31))
+
+
+def shingle_values(text: str | None, size: int) -> np.ndarray:
+    """A 64-bit hash of each shingle of the ASCII-lower-cased words, repeats included; of the whole sequence if there
+    are fewer words; none without words."""
+    data = LOWER_BYTES[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
+    if not len(data):
+        return np.zeros(0, np.uint64)
+    w = word_hashes(data, *word_spans(data))
+    if not len(w):
+        return w
+    k = min(size, len(w))
+    with np.errstate(over="ignore"):
+        s = np.full(len(w) - k + 1, k, np.uint64)
+        for i in range(k):
+            s = s * np.uint64(0xD6E8FEB86659FD93) + w[i : len(w) - k + 1 + i]
+        return mixed(s)

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, mixed, plain, shuffle_partitions, word_hashes, word_spans
+from .common import LOWER_BYTES, mixed, plain, shingle_values, shuffle_partitions, word_hashes, word_spans
 
 SAMPLES, SHINGLE, ROWS, SEED = 64, 5, 1 << 12, 20_000
 
@@ -36,16 +36,8 @@ def _tables() -> tuple[np.ndarray, ...]:
 def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the distinct terms, ascending, and their weights."""
     data = LOWER_BYTES[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
-    starts, ends = word_spans(data) if len(data) else (np.zeros(0, int), np.zeros(0, int))
-    w = word_hashes(data, starts, ends)
-    if not len(w):
-        return w, np.zeros(0, np.int64)
-    k = min(SHINGLE, len(w))
-    with np.errstate(over="ignore"):
-        s = np.full(len(w) - k + 1, len(w) if len(w) < SHINGLE else SHINGLE, np.uint64)
-        for i in range(k):
-            s = s * np.uint64(0xD6E8FEB86659FD93) + w[i : len(w) - k + 1 + i]
-        return np.unique(np.concatenate((w, mixed(s))), return_counts=True)
+    w = word_hashes(data, *word_spans(data)) if len(data) else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate((w, shingle_values(text, SHINGLE))), return_counts=True)
 
 
 def signature(text: str | None) -> np.ndarray:

@@ -3,27 +3,26 @@
 Contract of the query: words of the ASCII-lower-cased text, three-word shingles with repeats, XXH64 (seed 42) of
 each, majority bits; fingerprints link at two or fewer differing bits; components of links.
 
-Multi-index hashing. A fingerprint is cut into two 32-bit segments. Two fingerprints within two bits differ as
-(0,2), (1,1) or (2,0) bits in the segments, or less. Each table enumerates the Hamming ball of radius one within
-one segment and keeps the other verbatim. (2,0) meets in the middle in the first table, (0,2) in the second, and
-(1,1) where a ball member of one's first segment is a ball member of the other's second. So a key holds every pair
-once at least, a key's members are within two bits of each other, and there are never more than 65 of them:
-no bucket grows with the corpus. Each member is linked to the key's smallest one and the complete distance is verified.
+Multi-index hashing. A fingerprint is cut into two 32-bit segments, each with a table from its value to fingerprints.
+Of the two segments of fingerprints within two bits, one differs in one bit at most. So for each segment the Hamming
+ball of radius one is enumerated and looked up in that segment's table, and matches are verified by the complete
+distance. Of two values one bit apart only the one with the bit set looks the other up, which halves the lookups.
+Values with very many members are divided further (candidates()).
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, mixed, plain, words_of, written
+from .common import components, dropped, plain, words_of, written
 
-SEED, SEGMENT = 42, 32
+SEED, SEGMENT, HOT = 42, 32, 256
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -60,23 +59,49 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return d.mapInPandas(run, f"{key} {d.schema[key].dataType.simpleString()}, fp long")
 
 
-def links(fps: DataFrame, column: str = "fp") -> DataFrame:
-    """Links (a, b), a < b, between distinct fingerprints: the star of every shared ball member. Their components
-    are those of all pairs within two bits."""
-    low = (1 << SEGMENT) - 1
-    x = fps.select(F.col(column).alias("fp")).distinct()
-    # the member with nothing flipped, then one bit flipped in the first or in the second segment
-    flips = F.array(*[F.lit(0).cast("long")] + [F.lit((1 << i) - (1 << 64) if i == 63 else 1 << i).cast("long") for i in range(64)])
-    keys = x.select("fp", F.explode(flips).alias("flip")).select(
-        "fp",
-        F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("flip")), SEGMENT).alias("first"),
-        F.col("fp").bitwiseXOR(F.col("flip")).bitwiseAND(F.lit(low).cast("long")).alias("second"),
-    )
-    from pyspark.sql import Window
+def _half(fp: Column, segment: int) -> Column:
+    return F.shiftrightunsigned(fp, SEGMENT) if segment == 0 else fp.bitwiseAND(F.lit((1 << SEGMENT) - 1).cast("long"))
+
+
+def _ball(value: Column, width: int) -> Column:
+    """The value and those with one of its set bits cleared: of two values one bit apart, just one has the other."""
+    bits = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
+    return F.transform(F.filter(bits, lambda b: (b == 0) | (value.bitwiseAND(b) != 0)), lambda b: value - b)
+
 
-    star = keys.withColumn("least", F.min("fp").over(Window.partitionBy("first", "second")))
-    star = star.where("least < fp").select(F.col("least").alias("a"), F.col("fp").alias("b")).distinct()
-    return star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+def candidates(fps: DataFrame, column: str = "fp", hot: int = HOT) -> DataFrame:
+    """Pairs (a, b) of fingerprints that a table lookup brings together: equal in one segment but for one bit at most.
+
+    A segment value with over hot members is divided by halves of the other segment: beside an equal segment, one of
+    them is within one bit; beside one that differs, one of them is equal, since two bits differ at most in all. So
+    no pair within two bits is lost at any size.
+    """
+    x = fps.select(F.col(column).alias("fp")).distinct()
+    part = lambda j: F.shiftrightunsigned("rest", SEGMENT // 2) if j else F.col("rest").bitwiseAND(F.lit((1 << SEGMENT // 2) - 1).cast("long"))
+    tables, probes = [], []
+    for s in (0, 1):
+        own, rest = _half(F.col("fp"), s), _half(F.col("fp"), 1 - s)
+        tables.append(x.select(F.lit(s).alias("segment"), own.alias("value"), "fp", rest.alias("rest")))
+        probes.append(x.select(F.lit(s).alias("segment"), F.explode(_ball(own, SEGMENT)).alias("value"), "fp", rest.alias("rest"), own.alias("own")))
+    table, probe = tables[0].unionAll(tables[1]), probes[0].unionAll(probes[1]).withColumn("same", F.col("value") == F.col("own")).drop("own")
+    keys = ["segment", "value"]
+    large = table.groupBy(*keys).agg(F.count("*").alias("members")).where(F.col("members") > hot).select(*keys)
+    pair = lambda t, p, on: t.withColumnRenamed("fp", "b").join(p.withColumnRenamed("fp", "a"), on).where(~F.col("same") | (F.col("b") < F.col("a"))).select("a", "b")
+    few = pair(table.drop("rest").join(large, keys, "left_anti"), probe.drop("rest"), keys)
+    table, probe = table.join(large, keys), probe.join(large, keys)
+    entry = lambda j, v: F.struct(F.lit(j).alias("j"), v.alias("v"))
+    table = table.select(*keys, "fp", F.explode(F.array(entry(0, part(0)), entry(1, part(1)))).alias("sub"))
+    # beside an equal segment both of a pair probe, and the ball's one-sided half suffices
+    near = lambda j: F.transform(F.when(F.col("same"), _ball(part(j), SEGMENT // 2)).otherwise(F.array(part(j))), lambda v: entry(j, v))
+    probe = probe.select(*keys, "fp", "same", F.explode(F.concat(near(0), near(1))).alias("sub"))
+    many = table.withColumnRenamed("fp", "b").join(probe.withColumnRenamed("fp", "a"), [*keys, "sub"]).where("a <> b").select("a", "b")
+    return few.unionAll(many)
+
+
+def links(fps: DataFrame, column: str = "fp", radius: int = 2) -> DataFrame:
+    """Links (a, b), a < b, between distinct fingerprints within radius (two at most) bits, by their complete distance."""
+    c = candidates(fps, column).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
+    return c.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 3) -> DataFrame:
@@ -86,151 +111,29 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", shingl
     without words share fingerprint zero and link like any other; repeated rows each get a row; null keys are kept
     and never become a component's id unless it has no other (then it is null); an empty table gives none.
     """
+    old: list[str] = []
     fps = written(fingerprints(docs, text, key, shingle))
-    distinct = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    roots = components(links(distinct))
+    distinct = written(fps.groupBy("fp").agg(F.min(key).alias("least")), old)
+    roots = components(links(distinct), old)
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = written(joined)
+    joined = written(joined, old)
     by_root = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = joined.join(by_root, "root").select("fp", "component_id")
+    of_fp = written(joined.join(by_root, "root").select("fp", "component_id"))
+    dropped(docs.sparkSession, old)
     return fps.join(of_fp, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by estimated similarity of shingle sets; deduplicated() uses the exact ones of jaccard.py. At a Jaccard similarity of 0.8 a seventh of a SimHash's bits differ,
-# which balls of any affordable radius in a 64-bit fingerprint miss. So a document gets several fingerprints: its
-# distinct shingles are divided into strata by their hashes, about four in each, and each of the first strata has a
-# SimHash of its own as a table key; copies agree in a stratum that their edits did not touch. Matches are verified
-# by the complete distance of wide fingerprints of all shingles.
-
-WIDE, STRATA, PER_STRATUM, SMALL, TURNS = 1024, 16, 3, 16, 1 << 20
-
-
-def strata_fingerprints(hashes: np.ndarray) -> list[int]:
-    """Keys of the first STRATA strata at the two levels that suit the number of distinct shingles."""
-    n = len(hashes)
-    if not n:
-        return [0]
-    out = []
-    fine = max(0, int(np.log2(max(n / PER_STRATUM, 1))))
-    with np.errstate(over="ignore"):
-        spread = hashes * np.uint64(0x9E3779B97F4A7C15)
-        for level in {fine, max(fine - 1, 0)}:
-            of = (spread >> np.uint64(64 - level)).astype(np.int64) if level else np.zeros(n, np.int64)
-            for j in range(min(STRATA, 1 << level)):
-                own = hashes[of == j]
-                if len(own):
-                    x = np.array([majority(own)], np.uint64) ^ np.uint64((level * STRATA + j + 1) * 0xD6E8FEB86659FD93 & (1 << 64) - 1)
-                    out.append(int((x ^ (x >> np.uint64(29))).view(np.int64)[0]))
-    return out
-
-
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """The majority bits of WIDE derived bits of each hash, as longs."""
-    ones = np.zeros(WIDE, np.int64)
-    salts = (np.arange(1, WIDE // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
-    for part in np.array_split(hashes, len(hashes) // 8192 + 1):
-        with np.errstate(over="ignore"):
-            ones += np.unpackbits(mixed(part[:, None] + salts).view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.int32)
-    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.int64)
-
-
-def similarity(distance, n1, n2):
-    """Jaccard similarity of two shingle sets, estimated from the distance of wide fingerprints and the sets' sizes."""
-    common = F.greatest(F.cos(F.lit(np.pi / WIDE) * distance), F.lit(0.0)) * F.sqrt(n1 * n2)
-    common = F.least(common, n1, n2)
-    return F.when(n1 + n2 > 0, common / (n1 + n2 - common)).otherwise(1.0)
-
-
-def settled(members: DataFrame, found: DataFrame, verified: Callable[[DataFrame], DataFrame], ratio: float) -> DataFrame:
-    """found (node, root) with the links that leaders left out in the buckets of members (stratum, sig, n).
-
-    A pair can be missing only between two components of a bucket, so one of the two is a stray: outside the bucket's
-    largest component. Each round compares about SMALL strays of a bucket, and four times as many the next time, with
-    the bucket's members of other components whose sizes allow the similarity, until all strays of each bucket have
-    been compared. A stray leaves the bucket once compared, and is chosen by a hash of its own, so that a pair of
-    several buckets mostly falls in one round. Merged components leave fewer strays. Buckets that mostly hold strays share a passage rather than
-    an origin; after a first round, their pairs must agree in a second such bucket.
-    """
-    limit, first = SMALL, True
-    while True:
-        roots = members.join(found, members.sig == found.node, "left").select("stratum", "sig", "n", F.coalesce("root", "sig").alias("root"))
-        counts = roots.groupBy("stratum", "root").count().groupBy("stratum").agg(F.sum("count").alias("k"), F.max(F.struct("count", "root")).alias("top"))
-        counts = counts.select("stratum", "k", (F.col("k") - F.col("top.count")).alias("strays"), F.col("top.root").alias("main")).where("strays > 0")
-        apart = written(roots.join(counts, "stratum"))
-        if apart.isEmpty():
-            return found
-        turn = (F.col("root") != F.col("main")) & (F.pmod(F.xxhash64("sig"), F.lit(TURNS)) * F.col("strays") < limit * TURNS)
-        chosen = apart.where(turn).select("stratum", F.col("sig").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-        others = apart.select("stratum", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-        pairs = chosen.join(others, "stratum").where("ra <> rb").where(F.least("na", "nb") >= ratio * F.greatest("na", "nb")).select("a", "b")
-        found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(verified(pairs)))
-        left = apart.where(F.col("strays") > limit).where(~turn)
-        if first:
-            shared = left.where("2 * strays >= k").select("stratum", "sig", "n")
-            second = shared.select(F.col("stratum").alias("other"), F.col("sig").alias("same"))
-            both = shared.join(second, (shared.sig == second.same) & (shared.stratum < second.other))
-            left = left.where("2 * strays < k").select("stratum", "sig", "n").unionAll(both.select(F.xxhash64("stratum", "other").alias("stratum"), "sig", "n"))
-        members, limit, first = left.select("stratum", "sig", "n"), limit * 4, False
-
-
-def duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8, slack: float = 0.03) -> DataFrame:
-    """Rows (key, h, group, n_rows): one for each distinct key and text, with the smallest key of its group and how
-    often the row occurs. Documents whose sets of shingles have a similarity of least or more (as estimated, less
-    slack, about one standard error) are linked; groups are components of links.
-
-    In a table key's bucket, members are compared with the member of highest degree (an original is in more buckets
-    than its edited copies are) and with the smallest; buckets of up to SMALL members compare all pairs. What this
-    leaves apart in larger buckets is settled() afterwards. Texts without words are alike.
-    """
-    spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for t in b["text"]:
-                h = np.unique(shingle_hashes(words_of(t), shingle))
-                rows.append((wide_fingerprint(h), len(h), strata_fingerprints(h)))
-            yield pd.DataFrame({"key": b["key"], "h": b["h"], "wide": [r[0] for r in rows], "n": np.array([r[1] for r in rows], np.int64), "strata": [r[2] for r in rows]})
-
-    d = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.xxhash64(docs[text]).alias("h"))
-    rows = written(d.mapInPandas(run, f"key {kind}, h long, wide array<long>, n long, strata array<long>").withColumn("sig", F.xxhash64("wide", "n")))
-    sets = written(rows.dropDuplicates(["sig"]).select("sig", "wide", "n", "strata"))
-    members = sets.select(F.explode(F.array_distinct("strata")).alias("stratum"), "sig", "n")
-    buckets = members.groupBy("stratum").agg(F.count("*").alias("size")).where("size > 1")
-    members = written(members.join(buckets, "stratum"))
-    degree = members.groupBy("sig").agg(F.sum("size").alias("degree"))
-    lead = members.join(degree, "sig").groupBy("stratum").agg(F.max(F.struct("degree", "sig"))["sig"].alias("x"), F.min("sig").alias("y"))
-    stars = members.select("stratum", "sig").join(lead, "stratum").select(F.explode(F.array_distinct(F.array("x", "y"))).alias("a"), F.col("sig").alias("b"))
-    few = members.where(F.col("size") <= SMALL).select("stratum", "sig")
-    pairs = few.select("stratum", F.col("sig").alias("a")).join(few.select("stratum", F.col("sig").alias("b")), "stratum").select("a", "b")
-    side = lambda x: sets.select(F.col("sig").alias(x), F.col("wide").alias(f"w{x}"), F.col("n").cast("double").alias(f"n{x}"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        checked = pairs.join(side("a"), "a").join(side("b"), "b")
-        distance = F.aggregate(F.zip_with("wa", "wb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return checked.where(similarity(distance, F.col("na"), F.col("nb")) >= least - slack).select("a", "b")
-
-    found = components(verified(stars.unionAll(pairs)))
-    found = settled(members.where(F.col("size") > SMALL).select("stratum", "sig", "n"), found, verified, least - slack)
-    of_sig = rows.groupBy("sig").agg(F.min("key").alias("least"))
-    roots = written(of_sig.join(found, of_sig.sig == found.node, "left").select("sig", "least", F.coalesce("root", "sig").alias("root")))
-    by_root = roots.groupBy("root").agg(F.min("least").alias("group"))
-    of_sig = roots.join(by_root, "root").select("sig", "group")
-    return rows.groupBy("key", "h", "sig").agg(F.count("*").alias("n_rows")).join(of_sig, "sig", "left").select("key", "h", "group", "n_rows")
-
-
 def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """docs with one row of each group of near-duplicates: the one with the smallest key; of several rows with that
-    key, one of the text with the least hash. Columns are those of docs; groups of null keys alone keep one row."""
+    """docs with one row of each group of near-duplicates (jaccard.duplicates): the one with the smallest key; of
+    several rows with that key, one of the text with the least hash. Columns are those of docs, whatever their names;
+    texts without words are one group; groups of null keys alone keep one row; an empty table gives no rows."""
     from . import jaccard
 
     groups = jaccard.duplicates(docs, text, key, shingle, least)
     best = groups.where(F.col("key").eqNullSafe(F.col("group")))
     # a key may have several texts in one group
-    best = written(best.groupBy("key", "group").agg(F.min_by(F.struct("h", "n_rows"), F.struct(F.col("h").isNull(), F.col("h"))).alias("x")).select(F.col("key").alias("__k"), F.col("x.h").alias("__h"), F.col("x.n_rows").alias("__n")))
-    d = docs.join(best, docs[key].eqNullSafe(best["__k"]) & F.xxhash64(docs[text]).eqNullSafe(best["__h"]))
-    once = d.where("__n = 1").select(*[docs[c] for c in docs.columns])
-    more = d.where("__n > 1").dropDuplicates(["__k", "__h"]).select(*[docs[c] for c in docs.columns])
-    return once.unionAll(more)
+    best = best.groupBy("key", "group").agg(F.min_by(F.struct("h", "n_rows"), F.struct(F.col("h").isNull(), F.col("h"))).alias("x"))
+    best = best.select(F.col("key").alias("k2"), F.col("x.h").alias("h2"), F.col("x.n_rows").alias("n"))
+    d = docs.select(docs[key].alias("k"), F.xxhash64(docs[text]).alias("h"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    d = d.join(best, F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2")))
+    return d.where("n = 1").select("row.*").unionAll(d.where("n > 1").dropDuplicates(["k", "h"]).select("row.*"))
