@@ -1,10 +1,12 @@
 """Personal data by rules and bootstrapped contextual extraction, in DataFrame functions alone.
 
-Rules find e-mail addresses, IP addresses, card and phone numbers. The bootstrap starts from them: number-like words
-are instances; those that the rules know are seeds; the word before an instance, and its shape, are lexical patterns.
-On the graph of patterns and instances, a pattern's confidence is the smoothed mean of its instances' confidence, an
-instance's the best of its confident patterns'; after a few rounds, instances of high confidence that no rule knows
-are added wherever they occur.
+Rules find e-mail addresses, IP addresses, card and phone numbers. The bootstrap's instances are whole runs of grouped
+digits, and words with digits, an @, an assignment or capitals only, each with what stands before and after it. Seeds
+are instances that a rule's span covers, and values of 16 or more mixed letters and digits. Lexical patterns: what is
+assigned to, the words before (and after) together with the form of the value, its form and length, and its first
+letters and length. On the graph of patterns and instances, a pattern's confidence is the smoothed mean of its
+instances' confidence, an instance's the best of its confident patterns'; this is repeated until no pattern becomes
+confident any more. Instances of high confidence that no rule knows are added wherever they occur.
 """
 
 from __future__ import annotations
@@ -22,10 +24,17 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.|$)){4}$"
 KINDS = ("email", "ip", "card", "phone", "found")
-#: A word with a digit, from its start.
-INSTANCE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
-
-ROUNDS, CONFIDENT, SUPPORT, MIN_DIGITS = 4, 0.6, 3, 5
+#: An instance, from the start of a word: seven or more digits with at most two signs between them, or a word of four or
+#: more characters with a digit, @, = or _ in it, or one of twelve or more capitals.
+INSTANCE = (
+    r"(?<![^\x20\x09-\x0D])(?:\(?\+?[0-9](?:[().\x20-]{0,2}+[0-9]){6,}+(?![^\x20\x09-\x0D.,;:!?)\"'\]])"
+    r"|(?=[^\x20\x09-\x0D]{4})[^\x20\x09-\x0D0-9@=_]*+[0-9@=_][^\x20\x09-\x0D]*+|[A-Z-]{12,}+)"
+)
+#: A name and an assignment sign before a value in one word, and a value that looks random.
+ASSIGNED = r"^[A-Za-z_][A-Za-z_.-]{1,31}[=:](?!//)[\"']?"
+RANDOM = r"^(?=(?:[^0-9]*[0-9]){2})(?=(?:[^A-Za-z]*[A-Za-z]){2})[A-Za-z0-9+/_-]{16,}$"
+
+MOST_ROUNDS, CONFIDENT, SUPPORT, MIN_DIGITS = 32, 0.6, 3, 5
 STEP = 256
 
 
@@ -99,60 +108,100 @@ def written_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+WORDS = "array<struct<start:bigint,end:bigint,word:string,left:string,left2:string,right:string>>"
+
+
 def _surveyed(docs: DataFrame, text: str, key: str) -> DataFrame:
-    """Rows (key, h, base, words): the rules' spans and the number-like words with the word before them; no text."""
+    """Rows (key, h, base, words): the rules' spans, and the instances with their contexts; no text."""
     d = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
     d = base(d, "text")
-    d = d.withColumn("__m", F.when(F.col("text").rlike("[0-9]"), F.regexp_extract_all("text", F.lit(INSTANCE), F.lit(0))))
-    d = d.withColumn("__p", F.when(F.size("__m") > 0, F.slice(F.split("text", INSTANCE, -1), F.lit(1), F.size("__m"))))
-    d = d.withColumn("__e", F.when(F.col("__p").isNotNull(), running(F.zip_with("__p", "__m", lambda a, b: F.length(a) + F.length(b)))))
-    # the word before, within 64 characters of the instance
-    left = lambda piece: ascii_lower(F.regexp_extract(F.right(piece, F.lit(64)), r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-    joined = F.arrays_zip(F.col("__m").alias("m"), F.col("__p").alias("p"), F.col("__e").alias("e"))
-    # without the signs around it: what is left starts and ends with a letter or digit
-    lead = lambda m: F.length(m) - F.length(F.regexp_replace(m, r"^[^\p{L}\p{N}+]+", ""))
-    core = lambda m: F.regexp_replace(F.regexp_replace(m, r"^[^\p{L}\p{N}+]+", ""), r"[^\p{L}\p{N}]+$", "")
-    entry = lambda x: F.struct((x["e"] - F.length(x["m"]) + lead(x["m"])).alias("start"), (x["e"] - F.length(x["m"]) + lead(x["m"]) + F.length(core(x["m"]))).alias("end"), core(x["m"]).alias("word"), left(x["p"]).alias("left"))
-    d = d.withColumn("words", F.filter(F.transform(joined, entry), lambda w: F.length(digits_of(w["word"])) >= MIN_DIGITS))
-    # an instance that a rule's span covers is a seed
-    return d.select("key", F.xxhash64("text").alias("h"), "base", F.coalesce("words", F.array().cast("array<struct<start:bigint,end:bigint,word:string,left:string>>")).alias("words"))
+    d = d.withColumn("__m", F.when(F.col("text").rlike(r"[0-9@=_]|[A-Z-]{12}"), F.regexp_extract_all("text", F.lit(INSTANCE), F.lit(0))))
+    d = d.withColumn("__p", F.when(F.size("__m") > 0, F.split("text", INSTANCE, -1)))
+    d = d.withColumn("__e", F.when(F.col("__p").isNotNull(), running(F.zip_with(F.slice("__p", F.lit(1), F.size("__m")), "__m", lambda a, b: F.length(a) + F.length(b)))))
+    # contexts lie within 64 characters of the instance
+    before = lambda piece, pattern: ascii_lower(F.regexp_extract(F.right(piece, F.lit(64)), pattern, 1))
+    lead = lambda m: F.regexp_replace(m, r"^[^\p{L}\p{N}+]+", "")
+    core = lambda m: F.regexp_replace(lead(m), r"[^\p{L}\p{N}]+$", "")
+
+    def entry(i: Column) -> Column:
+        m, piece, after = F.element_at("__m", i), F.element_at("__p", i), F.element_at("__p", i + 1)
+        name = F.regexp_extract(core(m), ASSIGNED, 0)
+        start = F.element_at("__e", i) - F.length(lead(m)) + F.length(name)
+        value = F.substr(core(m), F.length(name) + 1)
+        left = F.when(name != "", ascii_lower(F.regexp_replace(name, "[\"']$", ""))).otherwise(before(piece, r"([^\x20\x09-\x0D]+(?:[\x20\x09-\x0D][=:])?)[\x20\x09-\x0D]*$"))
+        left2 = before(piece, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$")
+        right = ascii_lower(F.regexp_extract(F.left(after, F.lit(64)), r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
+        return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("word"), left.alias("left"), left2.alias("left2"), right.alias("right"))
+
+    w = F.transform(F.sequence(F.lit(1), F.size("__m")), entry)
+    odd = lambda x: (F.length(digits_of(x["word"])) >= MIN_DIGITS) | x["word"].rlike(r"@|^[A-Z0-9_-]{12,}$") | x["word"].rlike(RANDOM) | (x["left"].rlike("[=:]$") & (F.length(x["word"]) >= 6))
+    d = d.withColumn("words", F.when(F.col("__p").isNotNull(), F.filter(w, odd)))
+    return d.select("key", F.xxhash64("text").alias("h"), "base", F.coalesce("words", F.array().cast(WORDS)).alias("words"))
 
 
 def shape(word: Column) -> Column:
-    return F.concat(F.regexp_replace(F.regexp_replace(word, "[0-9]+", "9"), r"\p{L}+", "a"), F.lit("/"), F.length(word))
-
-
-def bootstrap(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Confident words among instances (word, left, seed): rows (word, confidence), seeds not included.
+    """The word's runs of digits and of letters of either case."""
+    out = word
+    for runs, sign in (("[0-9]+", "9"), (r"\p{Lu}+", "A"), (r"\p{L}*[\p{L}&&[^A]]", "a")):
+        out = F.regexp_replace(out, runs, sign)
+    return out
+
+
+def patterns(word: Column, left: Column, left2: Column, right: Column) -> Column:
+    """The lexical patterns of an instance."""
+    form = F.concat_ws("/", shape(word), F.length(word))
+    classes = F.concat(*[F.when(word.rlike(p), F.lit(c)).otherwise("") for p, c in (("[0-9]", "9"), (r"\p{Lu}", "A"), (r"\p{Ll}", "a"), ("@", "@"))])
+    some = lambda c, name, *parts: F.when(c, F.concat_ws(" ", F.lit(name), *parts))
+    return F.array_compact(F.array(
+        some(F.lit(True), "form", form),
+        some((F.length(word) >= 12) & word.rlike(r"^\p{L}{4}"), "head", F.substring(word, 1, 4), F.length(word)),
+        some(left.rlike("[=:]$"), "name", left),
+        some(left != "", "left", left, form),
+        some(left2 != "", "before", left2, classes),
+        some((left != "") & (right != ""), "around", left, right, classes),
+    ))
+
+
+def bootstrap(instances: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+    """Confident words among instances (word, left, left2, right, seed), seeds included: rows (word, confidence).
 
     Edges are distinct pairs of word and pattern. A pattern needs SUPPORT seeds; its confidence is the sum of its
-    words' confidence over their number and one; from CONFIDENT on, it passes its confidence on to its words.
+    words' confidence over their number and one; from CONFIDENT on, it passes its confidence on to its words. Rounds
+    end when the confident patterns and what they add stay the same (confidences only rise, so they do).
     """
-    spark = instances.sparkSession
-    pattern = F.explode(F.array(F.concat(F.lit("left "), F.coalesce("left", F.lit(""))), F.concat(F.lit("shape "), shape(F.col("word")))))
-    edges = written(instances.select("word", "seed", pattern.alias("pattern")).groupBy("word", "pattern").agg(F.max(F.col("seed").cast("int")).alias("seed")))
-    seeds = edges.groupBy("word").agg(F.max("seed").alias("seed"))
-    words, now = None, []
-    state = written(seeds.withColumn("confidence", F.col("seed").cast("double")), now)
-    for _ in range(rounds):
-        patterns = edges.select("word", "pattern").join(state, "word").groupBy("pattern").agg((F.sum("confidence") / (F.count("*") + 1)).alias("p"), F.sum("seed").alias("support"))
-        patterns = patterns.where((F.col("p") >= CONFIDENT) & (F.col("support") >= SUPPORT)).select("pattern", "p")
-        words = edges.select("word", "pattern").join(patterns, "pattern").groupBy("word").agg(F.max("p").alias("p"))
-        old, now = now, []
-        state = written(state.join(words, "word", "left").select("word", "seed", F.when(F.col("seed") == 1, 1.0).otherwise(F.coalesce("p", F.lit(0.0))).alias("confidence")), now)
-        dropped(spark, old)
-    return state.where((F.col("seed") == 0) & (F.col("confidence") >= CONFIDENT)).select("word", "confidence")
+    spark, old = instances.sparkSession, []
+    edges = written(instances.select("word", F.col("seed").cast("int").alias("seed"), F.explode(patterns(*map(F.col, ("word", "left", "left2", "right")))).alias("pattern")).groupBy("word", "pattern").agg(F.max("seed").alias("seed")), old)
+    # patterns that can't get SUPPORT take no part
+    able = edges.groupBy("pattern").agg(F.sum("seed").alias("support"), F.count("*").alias("n")).where(F.col("support") >= SUPPORT).select("pattern", "n")
+    edges = written(edges.join(able, "pattern"), old)
+    state = written(edges.groupBy("word").agg(F.max("seed").alias("seed"), F.lit(0.0).alias("p")), now := [])
+    before = None
+    for _ in range(most_rounds):
+        held = F.greatest(F.col("p"), F.col("s").cast("double"))
+        strong = edges.select("word", "pattern", "n").join(state.select("word", F.col("seed").alias("s"), "p"), "word").groupBy("pattern", "n").agg(F.sum(held).alias("sum"))
+        strong = strong.select("pattern", (F.col("sum") / (F.col("n") + 1)).alias("q")).where(F.col("q") >= CONFIDENT)
+        words = edges.select("word", "pattern").join(strong, "pattern").groupBy("word").agg(F.max("q").alias("q"))
+        last, now = now, []
+        state = written(state.join(words, "word", "left").select("word", "seed", F.coalesce("q", F.lit(0.0)).alias("p")), now)
+        after = state.agg(F.count_if(F.col("p") > 0), F.round(F.sum("p"), 3)).first()
+        dropped(spark, last)
+        if after == before:
+            break
+        before = after
+    found = written(state.where(F.col("p") >= CONFIDENT).select("word", F.col("p").alias("confidence")))
+    dropped(spark, old + now)
+    return found
 
 
 def extracted(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """The survey (key, h, base) of every row and, by (key, h), the spans that the bootstrap adds."""
     survey = written(_surveyed(docs, text, key))
     covered = lambda w: F.exists("base", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
-    seen = survey.where(F.size("words") > 0).select("key", "h", F.explode(F.transform("words", lambda w: w.withField("seed", covered(w)))).alias("w")).select("key", "h", "w.*")
-    seen = written(seen)
+    seen = survey.where(F.size("words") > 0).select("key", "h", F.explode(F.transform("words", lambda w: w.withField("known", covered(w)))).alias("w")).select("key", "h", "w.*")
+    seen = written(seen.withColumn("seed", F.col("known") | F.col("word").rlike(RANDOM)))
     found = bootstrap(seen)
-    hits = seen.where(~F.col("seed")).join(found, "word")
-    return survey, hits.groupBy("key", "h").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("found")).alias("kind"), "end")).alias("added"))
+    hits = seen.where(~F.col("known")).join(found, "word")
+    return survey.drop("words"), hits.groupBy("key", "h").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("found")).alias("kind"), "end")).alias("added"))
 
 
 def personal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -172,19 +221,22 @@ def personal(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
 
 def redacted(docs: DataFrame, text: str = "text", key: str = "doc_id", length: str | None = "n_chars") -> DataFrame:
     """docs with every span of its text replaced by its kind in angle brackets, overlapping spans by the first's;
-    the column length, if there is one, follows. All rows and columns stay; null texts stay null."""
+    the column length, if there is one, follows. All rows and columns stay, whatever the columns' names; null texts
+    stay null; null keys and repeated rows are handled like others; an empty table gives no rows."""
     survey, added = extracted(docs, text, key)
-    spans = added.select(F.col("key").alias("__k"), F.col("h").alias("__h"), "added")
-    both = survey.where(F.size("base") > 0).select(F.col("key").alias("__k"), F.col("h").alias("__h"), F.col("base").alias("added")).unionByName(spans)
-    both = written(both.groupBy("__k", "__h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("added")))).alias("__spans")))
-    # every kind of span has a digit or an @: rows whose text has neither need no join
-    able = F.coalesce(docs[text].rlike("[0-9@]"), F.lit(False))
-    d = docs.where(able).join(both, docs[key].eqNullSafe(both["__k"]) & (F.xxhash64(F.coalesce(docs[text], F.lit(""))) == both["__h"]), "left")
-    t = docs[text]
+    both = survey.where(F.size("base") > 0).select("key", "h", F.col("base").alias("added")).unionByName(added)
+    both = written(both.groupBy(F.col("key").alias("k2"), F.col("h").alias("h2")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("added")))).alias("spans")))
+    d = docs.select(docs[key].alias("k"), docs[text].alias("t"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    # every span has a digit, an @, an assignment or capitals: rows whose text has none of them need no join
+    able = F.coalesce(F.col("t").rlike(r"[0-9@=:_]|[A-Z-]{12}"), F.lit(False))
+    x = d.where(able).join(both, F.col("k").eqNullSafe(F.col("k2")) & (F.xxhash64("t") == F.col("h2")), "left")
+    t = F.col("t")
     mark = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     piece = lambda a, s: F.when(s["start"] >= a["at"], F.array(F.substr(t, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.element_at(mark, s["kind"] + 1))).otherwise(F.array().cast("array<string>"))
-    new = F.aggregate("__spans", start, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece(a, s)).alias("out")), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(t, (a["at"] + 1).cast("int"))))
-    d = d.withColumn("__new", F.when(F.col("__spans").isNotNull() & t.isNotNull(), new).otherwise(t))
-    cols = [F.col("__new").alias(text) if c == text else F.when(F.col("__spans").isNotNull(), F.length("__new").cast(docs.schema[c].dataType)).otherwise(docs[c]).alias(c) if c == length else docs[c] for c in docs.columns]
-    return d.select(*cols).unionByName(docs.where(~able))
+    new = F.aggregate("spans", start, lambda a, s: F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.concat(a["out"], piece(a, s)).alias("out")), lambda a: F.concat(F.array_join(a["out"], ""), F.substr(t, (a["at"] + 1).cast("int"))))
+    x = x.withColumn("new", F.when(F.col("spans").isNotNull(), new).otherwise(t))
+    own = lambda c: F.col("row")[c]
+    count = lambda c: F.when(F.col("spans").isNotNull(), F.length("new").cast(docs.schema[c].dataType)).otherwise(own(c))
+    cols = [(F.col("new") if c == text else count(c) if c == length else own(c)).alias(c) for c in docs.columns]
+    return x.select(*cols).unionByName(d.where(~able).select("row.*"))
