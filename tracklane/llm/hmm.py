@@ -3,11 +3,12 @@
 Latent states emit classes of words: a class is a hash of a word's first and last two bytes and its length (up to 7),
 so that short words have a class of their own and unseen long words share one with words of like form. A word is
 drawn within its class by its corpus count plus a half. States are trained by Baum-Welch: expected counts of each
-partition are summed over partitions; every round runs over all training texts.
-A text's probability is exact: the forward recursion, scaled, over the whole text and its end.
+partition are summed over partitions; every round runs over all training texts, cut into segments of SEGMENT words
+(those after a text's first start from the states' shares). A text's probability is exact: the forward recursion, scaled, over the whole text and its end.
 
 Word counts of the whole corpus are looked up without a table that each task holds: texts are dealt to blocks, each
-block asks for its distinct words, the answers are summed by word and sent back to the block.
+block asks for its distinct words, counts are summed by word (combined before the shuffle) and joined back to the
+blocks that asked.
 """
 
 from __future__ import annotations
@@ -17,13 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER_BYTES, plain, shuffle_partitions, word_spans, written
+from .common import LOWER_BYTES, dropped, shuffle_partitions, word_spans, written
 
 #: STATES x CLASSES numbers are all that a task holds of the model.
-STATES, CLASSES, ROUNDS, PRIOR, CHUNK, BLOCK_BYTES = 6, 4096, 11, 20.0, 64, 8_000_000
+STATES, CLASSES, ROUNDS, PRIOR, CHUNK, SEGMENT, RESCALE, BLOCK_BYTES = 6, 4096, 11, 20.0, 64, 128, 8, 8_000_000
 END = b""
 
 
@@ -44,21 +45,22 @@ def sequence(text: str | None) -> np.ndarray:
     return np.append(classes(data, *word_spans(data)), 0)
 
 
-def _laid_out(seqs: list[np.ndarray]) -> tuple:
+def _laid_out(seqs: list[np.ndarray], chunk: int = CHUNK) -> tuple:
     """Chunks of all sequences, longest first: their symbols by step, lengths, and where each sequence's chunks are."""
-    per = np.array([-(-len(s) // CHUNK) for s in seqs])
-    flat = np.full((int(per.sum()), CHUNK), -1, np.int64)
+    size = np.array([len(s) for s in seqs])
+    per = -(-size // chunk)
     first = np.concatenate(([0], np.cumsum(per)[:-1]))
-    length = np.full(len(flat), CHUNK)
-    for s, a, k in zip(seqs, first.tolist(), per.tolist(), strict=True):
-        flat[a : a + k].reshape(-1)[: len(s)] = s
-        length[a + k - 1] = len(s) - (k - 1) * CHUNK
+    flat = np.full(int(per.sum()) * chunk, -1, np.int64)
+    # a sequence's symbols follow each other from its first chunk on
+    flat[np.arange(int(size.sum())) + np.repeat(first * chunk - np.concatenate(([0], np.cumsum(size)[:-1])), size)] = np.concatenate(seqs)
+    length = np.full(len(flat) // chunk, chunk)
+    length[first + per - 1] = size - (per - 1) * chunk
     order = np.argsort(-length, kind="stable")
     place = np.empty_like(order)
     place[order] = np.arange(len(order))
     length = length[order]
-    active = np.searchsorted(-length, -np.arange(CHUNK), side="left")  # chunks longer than t
-    return flat[order], length, active, place, first, per
+    active = np.searchsorted(-length, -np.arange(chunk), side="left")  # chunks longer than t
+    return flat.reshape(-1, chunk)[order], length, active, place, first, per
 
 
 def _products(x: np.ndarray, active: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,50 +107,53 @@ def likelihoods(seqs: list[np.ndarray], start: np.ndarray, trans: np.ndarray, em
     return _chained(m, log, place, first, per, start)[0]
 
 
-def expected(seqs: list[np.ndarray], start: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Baum-Welch: expected counts of start states, transitions and emissions, and the log-likelihood."""
+def expected(seqs: list[np.ndarray], start: np.ndarray, trans: np.ndarray, emit: np.ndarray, share: np.ndarray, resume: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Baum-Welch: expected counts of start states, transitions and emissions, and the log-likelihood, over segments.
+
+    Forward and backward vectors of all segments move in step. Emissions are taken relative to the classes' shares, so
+    that they are near one and vectors need scaling every RESCALE steps only.
+    """
     k = len(start)
-    x, length, active, place, first, per = _laid_out(seqs)
-    m, log = _products(x, active, trans, emit)
-    total, before = _chained(m, log, place, first, per, start)
-    after = np.ones((len(m), k))  # the scaled backward vector behind each chunk
-    order = np.argsort(-per, kind="stable")
-    w = np.ones((len(per), k))
-    for c in range(int(per.max(initial=0)) - 1, -1, -1):
-        live = order[: int((per > c).sum())]
-        at = place[first[live] + c]
-        after[at] = w[live]
-        u = np.einsum("nij,nj->ni", m[at], w[live])
-        w[live] = u / u.sum(1, keepdims=True)
-    by_class = np.ascontiguousarray(emit.T)
-    alpha = np.zeros((CHUNK + 1, len(x), k))
-    alpha[0] = before
-    for t in range(CHUNK):
+    x, length, active, place, first, _ = _laid_out(seqs, SEGMENT)
+    by_class = np.ascontiguousarray((emit / share).T.astype(np.float32))
+    trans32 = trans.astype(np.float32)
+    n_all, steps = len(x), int((active > 0).sum())
+    head = np.zeros(n_all, bool)
+    head[place[first]] = True
+    alpha = np.zeros((steps + 1, n_all, k), np.float32)
+    alpha[0] = np.where(head[:, None], start, resume)
+    fit, e = 0.0, []
+    for t in range(steps):
         n = active[t]
-        if not n:
-            break
-        a = (alpha[t, :n] @ trans) * by_class[x[:n, t]]
-        alpha[t + 1, :n] = a / a.sum(1, keepdims=True)
-    begin = start * w
-    begin = (begin / begin.sum(1, keepdims=True)).sum(0)
+        e.append(by_class[x[:n, t]])
+        a = (alpha[t, :n] @ trans32) * e[t]
+        if t % RESCALE == RESCALE - 1:
+            scale = a.sum(1)
+            fit += float(np.log(scale).sum())
+            a /= scale[:, None]
+        alpha[t + 1, :n] = a
+    ends = alpha[length, np.arange(n_all)].sum(1)
+    fit += float(np.log(ends).sum()) + float(np.log(share)[np.concatenate(seqs)].sum())
     moves, weights, symbols = np.zeros((k, k)), [], []
-    beta = after.copy()
-    for t in range(CHUNK - 1, -1, -1):
+    beta = np.ones((n_all, k), np.float32)
+    for t in range(steps - 1, -1, -1):
         n = active[t]
-        if not n:
-            continue
         b = beta[:n]
+        eb = e[t] * b
+        back = eb @ trans32.T
         gamma = alpha[t + 1, :n] * b
         weights.append(gamma / gamma.sum(1, keepdims=True))
         symbols.append(x[:n, t])
-        eb = by_class[x[:n, t]] * b
-        back = eb @ trans.T
-        norm = (alpha[t, :n] * back).sum(1, keepdims=True)
-        moves += (alpha[t, :n] / norm).T @ eb
-        beta[:n] = back / back.sum(1, keepdims=True)
+        norm = np.einsum("ij,ij->i", alpha[t, :n], back)
+        moves += (alpha[t, :n] / norm[:, None]).T @ eb
+        if t % RESCALE == 0:
+            back /= back.sum(1, keepdims=True)
+        beta[:n] = back
+    begin = start * beta[head]
+    begin = (begin / begin.sum(1, keepdims=True)).sum(0)
     symbol, weight = np.concatenate(symbols), np.concatenate(weights)
     emitted = np.stack([np.bincount(symbol, weight[:, i], CLASSES) for i in range(k)])
-    return begin, moves * trans, emitted, float(total.sum())
+    return begin, moves * trans, emitted, fit
 
 
 def _batches(seqs: Iterator[np.ndarray], tokens: int = 100_000) -> Iterator[list[np.ndarray]]:
@@ -172,21 +177,31 @@ def initial(share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.full(STATES, 1 / STATES), trans, emit / emit.sum(1, keepdims=True)
 
 
-def baum_welch_round(texts: DataFrame, model: tuple, share: np.ndarray) -> tuple[tuple, float]:
-    """One round over a table with a column text: counts by partition, summed, and the new parameters."""
-    sent = texts.sparkSession.sparkContext.broadcast(model)
+def sequences(texts: DataFrame) -> DataFrame:
+    """Rows (s): the classes of each text as 16-bit numbers."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in parts:
+            yield pd.DataFrame({"s": [sequence(t).astype("<u2").tobytes() for t in b["text"]]})
+
+    return texts.select("text").mapInPandas(run, "s binary")
+
+
+def baum_welch_round(seqs: DataFrame, model: tuple, share: np.ndarray) -> tuple[tuple, float]:
+    """One round over a table of sequences: counts by partition, summed, and the new parameters."""
+    sent = seqs.sparkSession.sparkContext.broadcast((*model, share, stationary(model[1])))
     width = STATES + STATES * STATES + STATES * CLASSES + 1
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums = np.zeros(width)
         for b in parts:
-            for seqs in _batches(map(sequence, b["text"])):
-                begin, moves, emitted, fit = expected(seqs, *sent.value)
+            for some in _batches(np.frombuffer(s, "<u2").astype(np.int64) for s in b["s"]):
+                begin, moves, emitted, fit = expected(some, *sent.value)
                 sums += np.concatenate((begin, moves.ravel(), emitted.ravel(), [fit]))
         at = np.flatnonzero(sums)
         yield pd.DataFrame({"i": at.astype(np.int32), "x": sums[at]})
 
-    got = texts.select("text").mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow().to_pandas()
+    got = seqs.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow().to_pandas()
     sums = np.zeros(width)
     sums[got.i.to_numpy()] = got.x.to_numpy()
     begin, moves = sums[:STATES] + 0.1, sums[STATES : STATES + STATES**2].reshape(STATES, STATES) + 0.1
@@ -194,6 +209,11 @@ def baum_welch_round(texts: DataFrame, model: tuple, share: np.ndarray) -> tuple
     return (begin / begin.sum(), moves / moves.sum(1, keepdims=True), emitted / emitted.sum(1, keepdims=True)), float(sums[-1])
 
 
+def stationary(trans: np.ndarray) -> np.ndarray:
+    """The states' shares in the long run."""
+    return np.linalg.matrix_power(trans, 1 << 12)[0]
+
+
 def scored(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, n_tokens, n_known, train_tokens, base_score, score), one per row of docs.
 
@@ -201,10 +221,11 @@ def scored(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
     (each row is scored); without training rows every count is zero and states are left at their start; an empty
     table gives no rows.
     """
+    spark, old = docs.sparkSession, []
     d = docs.select(docs[key].alias("key"), docs[text].alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     total = d.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    parts = max(shuffle_partitions(docs.sparkSession), blocks // 8)
+    parts = max(shuffle_partitions(spark), blocks // 2)
     dealt = d.withColumn("block", F.pmod(F.xxhash64("key", "text"), F.lit(blocks)).cast("int")).repartition(parts, "block")
 
     def ask(block: pd.DataFrame) -> pd.DataFrame:
@@ -223,10 +244,10 @@ def scored(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
         return pd.DataFrame({"word": words, "block": block["block"].iloc[0], "class": of.astype(np.int32), "n": np.array([learned[w] for w in words], np.int64)})
 
     asked = dealt.groupBy("block").applyInPandas(ask, "word binary, block int, class int, n long")
-    by_word = Window.partitionBy("word")
-    told = asked.withColumns({"c": F.sum("n").over(by_word), "first": F.min("block").over(by_word) == F.col("block")}).select("word", "block", "class", "c", "first")
-    told = written(told)
-    mass = told.where("first and c > 0").groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()  # CLASSES rows at most
+    asked = written(asked)
+    counts = written(asked.groupBy("word").agg(F.sum("n").alias("c"), F.min("class").alias("class")))
+    told = asked.select("word", "block").join(counts.select("word", "c"), "word")
+    mass = counts.where("c > 0").groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()  # CLASSES rows at most
     n_train, v_train = sum(r["n"] for r in mass), sum(r["v"] for r in mass)
     within = np.full(CLASSES, 0.5)
     for r in mass:
@@ -234,11 +255,12 @@ def scored(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
     share = within / within.sum()
     model = initial(share)
     if n_train:
-        learn = d.where("train").select("key", "text")
+        learn = written(sequences(d.where("train")), old)
         for _ in range(ROUNDS):
             model, _fit = baum_welch_round(learn, model, share)
+        dropped(spark, old)
     base = float(np.log10(n_train + 0.5 * (v_train + 1)))
-    sent = docs.sparkSession.sparkContext.broadcast((model, np.log10(within)))
+    sent = spark.sparkContext.broadcast((model, np.log10(within)))
 
     def score(block: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
         (start, trans, emit), log_within = sent.value
