@@ -47,12 +47,12 @@ def connected(edges: DataFrame) -> DataFrame:
     return nodes.join(roots, nodes.node == roots["__n"], "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, most: int = 64) -> DataFrame:
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """(source, target, length, hops) of the shortest directed path of each pair, by relaxation of the sources'
-    distances; pairs out of reach within most steps are left out."""
+    distances until none falls any more; pairs out of reach are left out. Lengths must not be negative."""
     dist = front = pairs.select(F.col("source"), F.col("source").alias("node")).distinct().select("source", "node", F.lit(0.0).alias("length"), F.lit(0).alias("hops"))
     steps = edges.select(F.col("u").alias("__u"), F.col("v").alias("__v"), F.col("length_m").alias("__m"))
-    for _ in range(most):
+    while True:
         step = front.join(steps, F.col("node") == F.col("__u")).select("source", F.col("__v").alias("node"), (F.col("length") + F.col("__m")).alias("length"), (F.col("hops") + 1).alias("hops"))
         step = step.groupBy("source", "node").agg(F.min(F.struct("length", "hops")).alias("x")).select("source", "node", "x.*")
         old = dist.select("source", "node", F.col("length").alias("known"))

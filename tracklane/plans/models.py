@@ -188,7 +188,7 @@ def communities(spark, d):
 
 @query("regions", None)
 def regions(spark, d):
-    """Five spectral clusters of the first 60 nodes by their correlations."""
+    """Five spectral clusters of all nodes by their correlations."""
     p = pair(spark, d).select(F.lit("all").alias("session"), F.lit(0).cast("bigint").alias("t"), "i", "j", F.col("corr").alias("value"))
     nodes = matrices.node_list(p)
     n = len(nodes)
@@ -203,8 +203,8 @@ def regions(spark, d):
 
 @query("laplacian_vectors", None)
 def laplacian_vectors(spark, d):
-    """Three eigenvectors of the zone graph of the first 60 road nodes."""
-    e = graphs.undirected(edges(spark, d)).where("u < 60 and v < 60")
+    """Three eigenvectors of the graph of all road nodes."""
+    e = graphs.undirected(edges(spark, d))
     p = e.select(F.lit("all").alias("session"), F.lit(0).cast("bigint").alias("t"), F.col("u").alias("i"), F.col("v").alias("j"), F.lit(1.0).alias("value"))
     nodes = matrices.node_list(p)
     n = len(nodes)
@@ -225,7 +225,7 @@ LINKS = "links AS (SELECT p_partkey % (SELECT COUNT(*) FROM supplier) AS i, p_si
     f"WITH {EDGES}, {LINKS}, ways AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),"
     " around AS (SELECT u AS a, v AS b FROM ways UNION SELECT x.u, y.v FROM ways x JOIN ways y ON x.v = y.u WHERE x.u <> y.v),"
     f" met AS (SELECT a.u AS a, b.u AS b, {DIST} AS metres FROM around r JOIN edges a ON a.u = r.a JOIN edges b ON b.u = r.b),"
-    " base AS (SELECT a AS seed, b AS node FROM met WHERE a % 20 = 0 AND metres <= 4000 UNION SELECT u, u FROM edges WHERE u % 20 = 0),"
+    " base AS (SELECT a AS seed, b AS node FROM met WHERE metres <= 4000 UNION SELECT u, u FROM edges),"
     " more AS (SELECT seed, b AS node, MAX(weight) AS score FROM base JOIN met ON base.node = met.a JOIN links ON i = met.a AND j = met.b WHERE metres BETWEEN 50 AND 6000 AND weight >= 900 AND ABS(tau) <= 6 GROUP BY 1, 2),"
     " added AS (SELECT m.*, ROW_NUMBER() OVER (PARTITION BY m.seed ORDER BY score DESC, m.node) AS place FROM more m WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.seed = m.seed AND b.node = m.node))"
     " SELECT seed, node, CAST(NULL AS DOUBLE) AS score, TRUE AS base FROM base UNION ALL SELECT a.seed, a.node, score, FALSE FROM added a JOIN (SELECT seed, COUNT(*) AS n FROM base GROUP BY 1) s ON s.seed = a.seed WHERE place <= 12 - n",
@@ -233,4 +233,4 @@ LINKS = "links AS (SELECT p_partkey % (SELECT COUNT(*) FROM supplier) AS i, p_si
 def zones(spark, d):
     e, s = edges(spark, d), table(spark, d, "supplier").count()
     links = table(spark, d, "part").groupBy((F.col("p_partkey") % s).alias("i"), (F.col("p_size") % s).cast("bigint").alias("j")).agg(F.max("p_retailprice").alias("weight"), (F.min("p_size") % 7).cast("bigint").alias("tau"))
-    return graphs.zones(e, e.select(F.col("u").alias("node"), "lat", "lon"), links, e.where("u % 20 = 0").select(F.col("u").alias("node")), 4000.0, (50.0, 6000.0), 900.0, 6, 12)
+    return graphs.zones(e, e.select(F.col("u").alias("node"), "lat", "lon"), links, e.select(F.col("u").alias("node")), 4000.0, (50.0, 6000.0), 900.0, 6, 12)
