@@ -60,3 +60,23 @@ def test_sampled_betweenness_of_a_star_is_exact_with_all_sources(spark):
     got = {r.node: r.score for r in graphs.sampled_betweenness(e).collect()}
     assert got == {0: 1.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 0.0}
     assert {r.node: r.score for r in graphs.sampled_betweenness(e, 0.1, 2).collect()}.keys() == got.keys()
+
+
+def test_block_correlations_by_brute_force(spark):
+    """Gaps, nulls, a constant and a single value; blocks of three nodes."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    v = {n: {t: 5.0 if n == 3 else float(r.normal()) for t in range(20) if r.random() < 0.7} for n in range(11)}
+    v[10] = {4: 1.0}
+    df = frame(spark, [(n, t, x) for n, own in v.items() for t, x in own.items()] + [(0, 50, None)], "node bigint, t int, v double")
+    got = {(x.i, x.j): (x["corr"], x.n) for x in series.block_corr(df, "node", "t", "v", 3).collect()}
+    for a in v:
+        for b in v:
+            both = sorted(v[a].keys() & v[b].keys())
+            if a >= b or not both:
+                assert (a, b) not in got
+                continue
+            x, y = np.array([v[a][t] for t in both]), np.array([v[b][t] for t in both])
+            want = 0.0 if x.std() < 1e-12 or y.std() < 1e-12 else np.corrcoef(x, y)[0, 1]
+            assert abs(got[a, b][0] - want) < 1e-9 and got[a, b][1] == len(both)
