@@ -122,6 +122,22 @@ def boosted(x: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 4, bins
     return model
 
 
+def _fitted(known: DataFrame, shares: np.ndarray, labelled: int) -> Boosted:
+    """Trees of the SAMPLE labelled rows that come first by hash. Tasks compute features of somewhat more rows than
+    that, and the driver gets the features of the sample, never a URL."""
+    share = min(1.0, 1.2 * SAMPLE / max(labelled, 1))
+    picked = known.select("*", F.xxhash64("url", "key").alias("order")).where(F.shiftrightunsigned("order", 12) < int(share * 2**52) + 1)
+
+    def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = lexical(b.url, b.host, b.path, b.one, b.two, shares)
+            yield pd.DataFrame({"order": b.order, "y": (b.said == "allow").astype(float), "x": list(x)})
+
+    rows = picked.mapInPandas(features, "order long, y double, x array<float>")
+    rows = rows.orderBy(F.shiftrightunsigned("order", 12), "order", "x").limit(SAMPLE).toPandas()
+    return boosted(np.array(rows.x.to_list(), np.float32), rows.y.to_numpy()) if len(rows) else Boosted(0.0, [])
+
+
 def filtered(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "page_id") -> DataFrame:
     """Rows (key, host, path, rule, verdict, allow_score), one per row of pages.
 
@@ -138,11 +154,10 @@ def filtered(pages: DataFrame, rules: list[Rule], url: str = "url", key: str = "
     p = p.select("*", rule.alias("rule"), verdict.alias("said"), bucket(1).alias("one"), bucket(2).alias("two"))
     known = p.where("said is not null")
     stats = known.select(F.explode(F.array("one", "two")).alias("bucket"), (F.col("said") == "allow").cast("int").alias("y"))
-    shares = np.full(BUCKETS, 0.5, np.float32)
+    shares, labelled = np.full(BUCKETS, 0.5, np.float32), 0
     for b, n, good in stats.groupBy("bucket").agg(F.count("*"), F.sum("y")).collect():  # BUCKETS rows at most
-        shares[b] = (good + 1) / (n + 2)
-    sample = known.orderBy(F.xxhash64("url", "key"), "url").limit(SAMPLE).select("url", "host", "path", "one", "two", "said").toPandas()
-    model = boosted(lexical(*(sample[c] for c in ("url", "host", "path", "one", "two")), shares), (sample.said == "allow").to_numpy().astype(float)) if len(sample) else Boosted(0.0, [])
+        shares[b], labelled = (good + 1) / (n + 2), labelled + n // 2
+    model = _fitted(known, shares, labelled)
     sent = spark.sparkContext.broadcast((model.bias, model.trees, shares))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
