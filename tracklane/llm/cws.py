@@ -102,26 +102,30 @@ def edit_study(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Data
     """Fingerprints of all texts and of their edited forms (the last third of the characters replaced by the first as
     many of the next document, by descending key; after the last one comes the first), a row per document.
 
-    Texts are shuffled once: rows go to ranges of the key, sorted within; the first row of each range also goes to
-    the range before it, as the next of its last row. Null keys come last; rows of one key follow by their text's
-    hash, and a key's rows stay in one range; a single document is its own next; an empty table gives no rows.
+    Texts are shuffled once: rows go to ranges of key and text hash, sorted within; the first row of each range also
+    goes to the range before it, as the next of its last row. Keys may be of any type with an order. Null keys come
+    last; rows of one key follow by their text's hash; a single document is its own next; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    d = plain(docs, key, text).toDF("key", "text").select("key", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = 4 * shuffle_partitions(spark)
-    cuts = d.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)], 100 * ranges)).first()[0]
-    cuts = sorted(set(cuts or []), reverse=True)
-    # range 0 holds the largest keys; nulls are in a range of their own at the end
-    rank = F.lit(0)
-    kind = d.schema["key"].dataType.simpleString()
-    bounds = F.array(*[F.lit(c) for c in cuts]).cast(f"array<{kind}>") if cuts else F.array().cast(f"array<{kind}>")
-    rank = F.when(F.col("key").isNull(), len(cuts) + 1).otherwise(F.size(F.filter(bounds, lambda c: c > F.col("key"))))
-    d = d.select("key", "text", rank.cast("int").alias("range"), F.xxhash64("text").alias("h"))
-    firsts = d.groupBy("range").agg(F.min(F.struct((-F.col("key")).alias("k"), "h")).alias("x")).orderBy("range").collect()  # a row for each range
+    d = plain(docs, key, text).toDF("key", "text").select("key", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    kind, ranges = d.schema["key"].dataType.simpleString(), 4 * shuffle_partitions(spark)
+    # about 50 rows a range, by hash, show where to cut
+    of = max(1, d.count() // (50 * ranges))
+    seen = d.where(F.pmod(F.xxhash64("key", "h"), F.lit(of)) == 0).select("key", "h").distinct().orderBy(F.desc_nulls_last("key"), "h").collect()
+    cuts = [seen[i] for i in sorted({len(seen) * i // ranges for i in range(1, ranges)} - {0}) if i < len(seen)]
+    bounds = F.array(*[F.struct(F.lit(c["key"]).cast(kind).alias("key"), F.lit(c["h"]).alias("h")) for c in cuts]).cast(f"array<struct<key:{kind},h:bigint>>")
+
+    def passed(cut):
+        earlier = F.coalesce(cut["key"] > F.col("key"), cut["key"].isNotNull() & F.col("key").isNull())
+        return earlier | (cut["key"].eqNullSafe(F.col("key")) & (cut["h"] <= F.col("h")))
+
+    d = d.select("key", "text", F.size(F.filter(bounds, passed)).alias("range"), "h")
+    # the first of a range: the largest key, nulls last, and then the least hash
+    firsts = d.groupBy("range").agg(F.max(F.struct("key", F.bitwise_not("h").alias("h"))).alias("x")).orderBy("range").collect()  # a row for each range
     before = {r["range"]: firsts[i - 1]["range"] for i, r in enumerate(firsts)}
     guest = F.lit(None).cast("int")
     if firsts:
-        rows = spark.createDataFrame([(r["range"], -r["x"]["k"] if r["x"]["k"] is not None else None, r["x"]["h"], before[r["range"]]) for r in firsts], f"r int, k {kind}, hh long, guest int")
+        rows = spark.createDataFrame([(r["range"], r["x"]["key"], ~r["x"]["h"], before[r["range"]]) for r in firsts], f"r int, k {kind}, hh long, guest int")
         d = d.join(F.broadcast(rows), (d["range"] == rows.r) & d["key"].eqNullSafe(rows.k) & (d["h"] == rows.hh), "left")
         guest = F.col("guest")
     d = d.select("key", "text", "h", F.explode(F.array_compact(F.array(F.struct(F.col("range"), F.lit(False).alias("visits")), F.when(guest.isNotNull(), F.struct(guest.alias("range"), F.lit(True).alias("visits")))))).alias("x"))
