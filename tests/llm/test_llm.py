@@ -1,5 +1,6 @@
 """Operators of the llm subpackage against brute force, round trips and held-out accuracy, and on odd tables."""
 
+import datetime
 import hashlib
 import math
 import re
@@ -142,13 +143,64 @@ def test_no_letters_is_undetermined(spark, docs):
 
 
 def test_mixture_of_two_languages():
-    m = langid.Model(["a", "b"], np.full((langid.BUCKETS, 2), 1e-7, np.float32))
-    m.logp[langid.trigrams("aaaa")[1], 0] = 0.9
-    m.logp[langid.trigrams("bbbb")[1], 1] = 0.9
+    own = np.array([langid.trigrams("aaaa")[1], langid.trigrams("bbbb")[1]])
+    m = langid.Model.of(["a", "b"], own, np.array([0, 1]), np.array([1e6, 1e6]))
     _, _, shares, _ = m.mixture("a" * 60 + " " + "b" * 30)
     assert abs(shares["a"] - 2 / 3) < 0.1
 
 
+def plain_mixture(counts, text):
+    """counts: by language, of each bucket; expectation-maximisation and the search of a set, without arrays."""
+    total = {g: sum(c.values()) + langid.SMOOTH * langid.BUCKETS for g, c in counts.items()}
+    grams = [int(x) for x in langid.trigrams(text)]
+    p = lambda g, x: langid.NOISE if g is None else (counts[g].get(x, 0) + langid.SMOOTH) / total[g]
+
+    def fitted(names):
+        share = dict.fromkeys(names, 1 / len(names))
+        for _ in range(langid.ROUNDS):
+            new = dict.fromkeys(names, 0.0)
+            for x in grams:
+                whole = sum(share[g] * p(g, x) for g in names)
+                for g in names:
+                    new[g] += share[g] * p(g, x) / whole / len(grams)
+            moved, share = max(abs(new[g] - share[g]) for g in names), new
+            if moved < 1e-4:
+                break
+        return share, sum(math.log(sum(share[g] * p(g, x) for g in names)) for x in grams)
+
+    first, best = fitted([*counts, None])[0], None
+    order = sorted(counts, key=lambda g: -first[g])
+    for k in range(1, len(order) + 1):
+        share, fit = fitted([*order[:k], None])
+        if (k > 1 and first[order[k - 1]] < 1e-3) or (best and fit - 0.5 * k * math.log(len(grams) + 1) <= best[0]):
+            break
+        best = (fit - 0.5 * k * math.log(len(grams) + 1), share)
+    return best[1]
+
+
+@pytest.mark.parametrize("held, at_once", [(256, 1 << 22), (1, 24)])
+def test_mixtures_are_those_of_plain_expectation_maximisation(table, monkeypatch, held, at_once):
+    """Also with tables passed on after each language, and probabilities made in small blocks."""
+    monkeypatch.setattr(langid, "HELD", held)
+    monkeypatch.setattr(langid, "AT_ONCE", at_once)
+    rows = [(r.text, r.lang) for r in table.where("lang is not null and length(text) between 20 and 200").orderBy("doc_id").limit(60).collect()]
+    m = langid.learned(table.sparkSession.createDataFrame(rows, "text string, lang string"))
+    counts = {g: Counter() for g in m.langs}
+    for t, g in rows:
+        counts[g].update(int(x) for x in langid.trigrams(t))
+    for t in [t for t, _ in rows[:8]] + [rows[0][0] + " " + next(t for t, g in rows if g != rows[0][1])]:
+        want = plain_mixture(counts, t)
+        _, _, shares, noise = m.mixture(t)
+        assert abs(noise - want[None]) < 1e-4 and all(abs(want.get(g, 0) - x) < 1e-4 for g, x in shares.items())
+
+
+def test_a_thousand_languages(spark):
+    rows = [(f"{chr(0x4E00 + i)}{chr(0x4E01 + i)}{chr(0x4E02 + i)}" * 3, f"l{i:04d}") for i in range(0, 3000, 3)]
+    d = spark.createDataFrame([(i, t, g) for i, (t, g) in enumerate(rows)], "doc_id long, text string, lang string").coalesce(1)
+    got = {r.doc_id: r.lang_pred for r in langid.identified(d, F.lit(True)).collect()}
+    assert sum(got[i] == g for i, (_, g) in enumerate(rows)) > 990
+
+
 def test_sampling_estimates_jaccard(table):
     texts = [r.text for r in table.orderBy("doc_id").limit(40).collect()]
     errors = []
@@ -161,6 +213,16 @@ def test_sampling_estimates_jaccard(table):
     assert abs(np.mean(errors)) < 0.04 and np.std(errors) < 0.1
 
 
+@pytest.mark.parametrize("kind, key", [("string", "k{:03d}".format), ("double", lambda i: i / 7), ("date", lambda i: datetime.date(2020, 1, 1) + datetime.timedelta(i))])
+def test_sampling_takes_keys_of_any_type(spark, kind, key):
+    """Null keys last; rows of one key by their text's hash."""
+    rows = [(key(i // 2), f"a b {i} c" * 3) for i in range(120)] + [(None, f"x {i}") for i in range(50)]
+    d = spark.createDataFrame(rows, f"doc_id {kind}, text string")
+    order = [r.text for r in d.orderBy(F.desc_nulls_last("doc_id"), F.xxhash64("text")).collect()]
+    want = Counter(hashlib.sha256(cws.edited(t, n).encode()).hexdigest() for t, n in zip(order, order[1:] + order[:1], strict=True))
+    assert Counter(r.edited_sha256 for r in cws.edit_study(d).collect()) == want
+
+
 def test_edits_take_the_next_document(spark, table):
     x = table.toPandas().sort_values("doc_id", ascending=False).reset_index(drop=True)
     following = [*x.text[1:], x.text[0]]

@@ -142,3 +142,22 @@ def test_every_stage_takes_odd_rows(spark):
             assert out.columns == docs.columns, name
     kept = sorted(str(r.text)[:5] for r in c.STAGES[1][1](spark, docs, SF).collect())
     assert len(kept) == len(set(kept)) == 7  # one of null and empty, one of the three equal texts
+
+
+def test_url_rules_are_those_of_a_plain_version(spark):
+    rules = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
+
+    def plain(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.split("[/?#]", rest, maxsplit=1)[0]
+        path = re.split("[?#]", rest[len(host) :], maxsplit=1)[0]
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return host, path, *max(fits, key=lambda x: len(x[0]), default=(None, None))
+
+    urls = dict(queries.table(spark, SF, "pages").select("page_id", "url").collect())
+    got = queries.op1_url_filter(spark, SF).collect()
+    assert len(got) == len(urls)
+    for r in got:
+        host, path, rule, said = plain(urls[r.page_id])
+        assert (r.host, r.path, r.rule, r.verdict) == (host, path, rule, said or ("allow" if r.allow_score >= 0.5 else "block"))
