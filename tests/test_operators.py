@@ -1,5 +1,10 @@
 """Operators on hand-made frames: gaps, constants, ties, single rows."""
 
+import random
+from collections import Counter
+
+import pytest
+
 from tracklane.operators import clean, graphs, series
 
 
@@ -55,6 +60,27 @@ def test_positions_run_over_all_ranges(spark):
     assert graphs.indexed(df.limit(0), ["x"]).count() == 0
 
 
+@pytest.mark.parametrize("most_rows", [200_000_000, 60])
+def test_betweenness_of_a_random_graph(spark, most_rows):
+    """Against all pairs' path counts: a node on shortest paths from s to t has its share of them; also in blocks of sources."""
+    r = random.Random(3)
+    edges = {(r.randrange(14), r.randrange(14)) for _ in range(32)}
+    far, ways = {(s, s): 0 for s in range(14)}, Counter({(s, s): 1 for s in range(14)})
+    for s in range(14):
+        layer = {s}
+        for k in range(1, 15):
+            new = {v for u, v in edges if u in layer and (s, v) not in far}
+            for u, v in edges:
+                if u in layer and v in new:
+                    ways[s, v] += ways[s, u]
+            far.update({(s, v): k for v in new})
+            layer = new
+    want = {x: sum(ways[s, x] * ways[x, t] / ways[s, t] for s, t in far if x not in (s, t) and (s, x) in far and (x, t) in far and far[s, x] + far[x, t] == far[s, t]) for x in range(14)}
+    e = frame(spark, sorted(edges), "u bigint, v bigint")
+    got = {x.node: x.score for x in graphs.betweenness(e, frame(spark, [(i,) for i in range(14)], "node bigint"), most_rows).collect()}
+    assert all(abs(got.get(x, 0) - want[x]) < 1e-9 for x in want)
+
+
 def test_sampled_betweenness_of_a_star_is_exact_with_all_sources(spark):
     e = frame(spark, [(0, k) for k in range(1, 6)] + [(3, 0), (2, 2)], "u bigint, v bigint")
     got = {r.node: r.score for r in graphs.sampled_betweenness(e).collect()}

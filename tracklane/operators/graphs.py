@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import components, written as kept
+from ..shared import components, dropped, written as kept
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -63,43 +63,47 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(dist.withColumnRenamed("node", "target"), ["source", "target"])
 
 
-def betweenness(edges: DataFrame, sources: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """(node, score): sums over sources of the dependencies of unweighted shortest paths. Sources are dealt over
-    tasks; each task holds the graph, whose size is checked."""
-    import pandas as pd
-
-    n = edges.count()
-    if n > most_edges:
-        raise ValueError(f"{n} edges; at most {most_edges} are sent to tasks")
-    sent = edges.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in edges.select("u", "v").distinct().collect()])
-
-    def run(batches):
-        out: dict = {}
-        for u, v in sent.value:
-            out.setdefault(u, []).append(v)
-        total: dict = {}
-        for b in batches:
-            for s in b["node"]:
-                order, before, paths, depth = [], {s: []}, {s: 1.0}, {s: 0}
-                queue = [s]
-                for x in queue:
-                    order.append(x)
-                    for y in out.get(x, ()):
-                        if y not in depth:
-                            depth[y], paths[y], before[y] = depth[x] + 1, 0.0, []
-                            queue.append(y)
-                        if depth[y] == depth[x] + 1:
-                            paths[y] += paths[x]
-                            before[y].append(x)
-                share = dict.fromkeys(order, 0.0)
-                for y in reversed(order):
-                    for x in before[y]:
-                        share[x] += paths[x] / paths[y] * (1 + share[y])
-                    if y != s:
-                        total[y] = total.get(y, 0.0) + share[y]
-        yield pd.DataFrame({"node": pd.Series(list(total), dtype="int64"), "score": pd.Series(list(total.values()), dtype="float64")})
-
-    return sources.select("node").mapInPandas(run, "node bigint, score double").groupBy("node").agg(F.sum("score").alias("score"))
+def betweenness(edges: DataFrame, sources: DataFrame, most_rows: int = 200_000_000) -> DataFrame:
+    """(node, score): sums over sources of the dependencies of unweighted shortest paths. Levels of all sources are
+    joined with the edges, counting paths; dependencies are then summed level by level, from the farthest back.
+    Sources go in blocks, so that a block's tables have about most_rows rows. Self-links are ignored; only nodes that
+    some source reaches have a row."""
+    steps = kept(edges.select(F.col("u").alias("__u"), F.col("v").alias("__v")).where("__u <> __v").distinct())
+    nodes = steps.select(F.explode(F.array("__u", "__v")).alias("node")).distinct().count()
+    start = kept(sources.select("node").groupBy("node").agg(F.count("*").alias("times")))
+    blocks = -(-start.count() * nodes // most_rows) or 1
+    parts = [_dependencies(steps, start.where(F.pmod(F.xxhash64("node"), F.lit(blocks)) == i)) for i in range(blocks)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out.groupBy("node").agg(F.sum("score").alias("score"))
+
+
+def _dependencies(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """(node, score) of sources start (node, times); a source's own dependency isn't counted."""
+    front = start.select(F.col("node").alias("source"), "node", F.lit(1.0).alias("paths"))
+    levels, old = [front], []
+    seen = front.select("source", "node")
+    while True:
+        step = levels[-1].join(steps, F.col("node") == F.col("__u")).groupBy("source", F.col("__v").alias("node")).agg(F.sum("paths").alias("paths"))
+        front = kept(step.join(seen, ["source", "node"], "left_anti"), old)
+        if front.isEmpty():
+            break
+        levels.append(front)
+        seen = seen.unionAll(front.select("source", "node"))
+    share, scores = levels[-1].withColumn("share", F.lit(0.0)), []
+    for before in reversed(levels[:-1]):
+        scores.append(share)
+        to = share.select("source", F.col("node").alias("__v"), ((F.col("share") + 1) / F.col("paths")).alias("x")).join(steps, "__v")
+        to = to.groupBy("source", F.col("__u").alias("node")).agg(F.sum("x").alias("x"))
+        share = kept(before.join(to, ["source", "node"], "left").select("source", "node", "paths", (F.col("paths") * F.coalesce("x", F.lit(0.0))).alias("share")), old)
+    out = share.where("false").select("source", "node", "share")
+    for s in scores:
+        out = out.unionAll(s.select("source", "node", "share"))
+    times = start.select(F.col("node").alias("source"), "times")
+    out = kept(out.join(times, "source").groupBy("node").agg(F.sum(F.col("share") * F.col("times")).alias("score")))
+    dropped(steps.sparkSession, old)
+    return out
 
 
 def sampled_betweenness(edges: DataFrame, share: float = 0.1, least: int = 100, seed: int = 42) -> DataFrame:
