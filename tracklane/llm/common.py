@@ -49,12 +49,12 @@ LOWER_BYTES = np.arange(256, dtype=np.uint8)
 LOWER_BYTES[65:91] += 32
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, odd: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A 64-bit hash of each word: sum of bytes times powers of an odd base from the word's start, then mixed."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     span = int((ends - starts).max())
-    base = np.uint64(0x9E3779B97F4A7C15)
+    base = np.uint64(odd)
     with np.errstate(over="ignore"):
         powers = np.cumprod(np.full(span, base, np.uint64))
         at = np.arange(len(data)) - np.repeat(np.concatenate(([0], starts)), np.diff(np.concatenate(([0], starts, [len(data)]))))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, hmm, langid, media, mixing, packing, pii, quality, simhash, urlfilter
+from . import cws, hmm, langid, media, mixing, packing, phrases, pii, quality, simhash, urlfilter
 from .common import fold
 
 RULES = [
@@ -75,9 +75,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal(table(spark, sf_dir, "documents"))
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_best_fit_packing, op3_quality, op4_media, op5_language_id, op6_weighted_sampling, op7_hidden_markov, op8_simhash, op9_source_mix, op10_personal_data)
+    for f in (op1_url_filter, op2_best_fit_packing, op3_quality, op4_media, op5_language_id, op6_weighted_sampling, op7_hidden_markov, op8_simhash, op9_source_mix, op10_personal_data, op12_phrases)
 }
 
 SQL: dict[str, str] = {
@@ -98,5 +102,25 @@ r AS (SELECT k.*, e.source_size, e.target, e.epochs, e.target - e.epochs * e.sou
         sum(size) OVER (PARTITION BY k.source ORDER BY sort_key, doc_id ROWS UNBOUNDED PRECEDING) AS run
       FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, ((epochs + CASE WHEN run <= budget OR (run - size < budget AND run - budget <= budget - (run - size)) THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM r
+""",
+    "op12_phrases": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM documents),
+o AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS k)),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*)::BIGINT AS a FROM o GROUP BY 1, 2, 3),
+t AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY 1),
+c AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+u AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.k, u.phrase, u.a, cut, l.a AS l, r.a AS r, ((2000000::HUGEINT * u.a) // (l.a::HUGEINT + r.a))::BIGINT AS score
+      FROM u JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(u.w[1:cut], ' ')
+             JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(u.w[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+i AS (SELECT lang, part, max(a) AS around FROM (
+        SELECT lang, a, array_to_string(w[j:j + m - 1], ' ') AS part FROM (
+          SELECT lang, a, w, m, unnest(range(1, k - m + 2)) AS j FROM (SELECT *, unnest(range(2, k)) AS m FROM c))) GROUP BY 1, 2),
+d AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.part = b.phrase WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a),
+q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000
 """,
 }
