@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, hmm, langid, media, mixing, packing, phrases, pii, quality, simhash, urlfilter
+from . import cws, hmm, langid, media, mixing, packing, phrases, pii, quality, repair, simhash, urlfilter
 from .common import fold
 
 RULES = [
@@ -79,9 +79,13 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired(repair.damaged(table(spark, sf_dir, "conversations")), present="present")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_best_fit_packing, op3_quality, op4_media, op5_language_id, op6_weighted_sampling, op7_hidden_markov, op8_simhash, op9_source_mix, op10_personal_data, op12_phrases)
+    for f in (op1_url_filter, op2_best_fit_packing, op3_quality, op4_media, op5_language_id, op6_weighted_sampling, op7_hidden_markov, op8_simhash, op9_source_mix, op10_personal_data, op12_phrases, op13_conversation_repair)
 }
 
 SQL: dict[str, str] = {
@@ -122,5 +126,38 @@ i AS (SELECT lang, part, max(a) AS around FROM (
 d AS (SELECT b.* FROM b LEFT JOIN i ON i.lang = b.lang AND i.part = b.phrase WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a),
 q AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
 SELECT q.lang, rank, phrase, a, l, r, n, score FROM q JOIN t ON t.lang = q.lang WHERE rank <= 2000
+""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE d AS (
+  SELECT conv_id, turn, crc, CASE WHEN crc = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE crc WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text
+  FROM (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ord(c)::BIGINT)),
+    lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS crc FROM conversations)),
+e AS (SELECT conv_id, turn, role, text FROM d, (SELECT unnest([1, 2]) AS copy) WHERE crc != 0 AND (copy = 1 OR crc = 3)),
+f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM e),
+r AS (SELECT *, left(role, 1) AS first, CASE WHEN body = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS prior FROM f),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+        count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (prior || first NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS last FROM r GROUP BY conv_id),
+w AS (  -- costs of six digits before audits; a state without edits is null
+  SELECT conv_id, 0::BIGINT AS i, '000000' AS s0, NULL::VARCHAR AS s1, '000003I' AS s2, '000006II' AS s3, '' AS l0, NULL::VARCHAR AS l1, 'user:' AS l2, 'user:' || chr(10) || 'assistant:' AS l3 FROM g
+  UNION ALL
+  SELECT conv_id, i, s0, s1, u[1:instr(u, chr(1)) - 1], v[1:instr(v, chr(1)) - 1], l0, l1, u[instr(u, chr(1)) + 1:], v[instr(v, chr(1)) + 1:] FROM (
+    SELECT conv_id, i, s0, s1, l0, l1, u, least(n3, printf('%06d', u[1:6]::INT + 3) || u[7:instr(u, chr(1)) - 1] || 'I' || u[instr(u, chr(1)):] || chr(10) || 'assistant:') AS v FROM (
+      SELECT *, least(n2, printf('%06d', s0[1:6]::INT + 3) || s0[7:] || 'I' || chr(1) || CASE WHEN l0 = '' THEN '' ELSE l0 || chr(10) END || 'user:',
+          printf('%06d', s1[1:6]::INT + 3) || s1[7:] || 'I' || chr(1) || l1 || chr(10) || 'user:', printf('%06d', n3[1:6]::INT + 3) || n3[7:instr(n3, chr(1)) - 1] || 'I' || n3[instr(n3, chr(1)):] || chr(10) || 'user:') AS u FROM (
+        SELECT w.conv_id, r.i, printf('%06d', s0[1:6]::INT + 4) || s0[7:] || 'D' AS s0, l0,
+          p1[1:instr(p1, chr(1)) - 1] AS s1, p1[instr(p1, chr(1)) + 1:] AS l1,
+          least(printf('%06d', s2[1:6]::INT + 4) || s2[7:] || 'D' || chr(1) || l2, CASE WHEN may THEN printf('%06d', b[1:6]::INT + t + CASE WHEN first = 'u' THEN 0 ELSE 3 END) || b[7:instr(b, chr(1)) - 1]
+            || CASE WHEN first = 'u' THEN 'K' ELSE 'R' END || b[instr(b, chr(1)):] || CASE WHEN b[instr(b, chr(1)) + 1:] = '' THEN '' ELSE chr(10) END || CASE WHEN first = 'u' THEN role ELSE 'user' END || ':' || text END) AS n2,
+          least(printf('%06d', s3[1:6]::INT + 4) || s3[7:] || 'D' || chr(1) || l3, CASE WHEN may THEN printf('%06d', s2[1:6]::INT + t + CASE WHEN first = 'a' THEN 0 ELSE 3 END) || s2[7:]
+            || CASE WHEN first = 'a' THEN 'K' ELSE 'R' END || chr(1) || l2 || chr(10) || CASE WHEN first = 'a' THEN role ELSE 'assistant' END || ':' || text END) AS n3
+        FROM w JOIN (SELECT *, fault NOT IN ('b', 'd') AS may, CASE WHEN fault = 't' THEN 3 ELSE 0 END AS t FROM r) r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1,
+          LATERAL (SELECT least(printf('%06d', s1[1:6]::INT + 4) || s1[7:] || 'D' || chr(1) || l1, CASE WHEN may AND first = 's' THEN printf('%06d', s0[1:6]::INT + t) || s0[7:] || 'K' || chr(1) || role || ':' || text END) AS p1,
+            least(s0 || chr(1) || l0, s1 || chr(1) || l1, s3 || chr(1) || l3) AS b)))))
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CASE WHEN w.i IS NULL THEN 0 ELSE least(s0 || chr(1), s3 || chr(1))[1:6]::BIGINT END AS cost, CASE WHEN w.i IS NULL THEN '' WHEN s3 IS NULL OR s0 || chr(1) < s3 || chr(1) THEN s0[7:] ELSE s3[7:] END AS audit,
+  sha256(CASE WHEN w.i IS NULL THEN '' WHEN s3 IS NULL OR s0 || chr(1) < s3 || chr(1) THEN l0 ELSE l3 END) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = g.last
 """,
 }
