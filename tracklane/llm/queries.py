@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cws, hmm, langid, media, mixing, packing, phrases, pii, quality, repair, simhash, urlfilter
+from . import cws, hmm, langid, maintext, media, mixing, packing, phrases, pii, quality, repair, simhash, urlfilter
 from .common import fold
 
 RULES = [
@@ -75,6 +75,10 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal(table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maintext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"))
 
@@ -85,7 +89,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_url_filter, op2_best_fit_packing, op3_quality, op4_media, op5_language_id, op6_weighted_sampling, op7_hidden_markov, op8_simhash, op9_source_mix, op10_personal_data, op12_phrases, op13_conversation_repair)
+    for f in (op1_url_filter, op2_best_fit_packing, op3_quality, op4_media, op5_language_id, op6_weighted_sampling, op7_hidden_markov, op8_simhash, op9_source_mix, op10_personal_data, op11_main_text, op12_phrases, op13_conversation_repair)
 }
 
 SQL: dict[str, str] = {
