@@ -22,9 +22,9 @@ from .common import LOWER_BYTES, dropped, mixed, shuffle_partitions, word_hashes
 #: Words of the dictionary that tasks hold (8 bytes each); a larger one is joined to the words of the texts instead.
 WORDS = 1 << 22
 #: Bytes of text worked on at once; a longer text is hashed in parts.
-BLOCK = 1 << 22
+BLOCK = 1 << 20
 #: Keys that a task sorts at once.
-KEYS = 1 << 22
+KEYS = 1 << 21
 #: Keys, about, of a sample of documents that ranges are cut by; they decide how even ranges are, not what is counted.
 SAMPLE = 200_000
 #: Words that meet in a group where the dictionary is joined.
@@ -104,9 +104,9 @@ def _counter(base: int) -> Callable:
             held += len(u)
             for name, c in zip(names, np.bincount(lang, minlength=len(names)).tolist(), strict=True):
                 totals[name] = totals.get(name, 0) + c
-            if held > 1_000_000:
+            if held > 300_000:
                 rows = [merged(rows)]
-                if len(rows[0][0]) > 500_000:
+                if len(rows[0][0]) > 150_000:
                     yield out(*rows[0])
                     rows = []
                 held = len(rows[0][0]) if rows else 0
