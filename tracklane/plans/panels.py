@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
-from ..operators import clean, graphs, series
+from ..operators import clean, graphs, paths, series
 from .prepare import DIST, POS, _split
-from .views import EDGES, OBS, PANEL, TYPES, edges, obs, panel, query, r6, table, types
+from .views import EDGES, OBS, PANEL, ROADS, SEGMENTS, TYPES, edges, obs, panel, places, query, r6, roads, segments, table, types
 
 BRIDGE = "bridge AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS edge FROM lineitem)"
 
@@ -489,3 +489,22 @@ def shortest_paths(spark, d):
 def betweenness(spark, d):
     e = edges(spark, d)
     return graphs.betweenness(e, e.select(F.col("u").alias("node")))
+
+
+SNAPPED = f"""ends AS (SELECT a.segment, a.e, b.u AS node FROM (SELECT segment, 's' AS e, lat_start AS lat, lon_start AS lon FROM segments UNION ALL SELECT segment, 'e', lat_end, lon_end FROM segments) a, edges b
+  QUALIFY ROW_NUMBER() OVER (PARTITION BY a.segment, a.e ORDER BY {DIST}, b.u) = 1), ends2 AS (SELECT s.segment, s.node AS s, e.node AS e FROM ends s JOIN ends e ON s.segment = e.segment AND s.e = 's' AND e.e = 'e')"""
+
+
+@query("segment_paths", f"""WITH RECURSIVE {ROADS}, {SEGMENTS}, {SNAPPED}, starts AS (SELECT s AS source FROM ends2 UNION SELECT e FROM ends2),
+d(source, node, length, hops) USING KEY (source, node) AS (SELECT source, source, 0.0::DOUBLE, 0 FROM starts UNION
+  SELECT x.source, x.node, x.best.l, x.best.h FROM (SELECT d.source, r.v AS node, min({{'l': d.length + r.length_m, 'h': d.hops + 1}}) AS best FROM d JOIN roads r ON r.u = d.node GROUP BY 1, 2) x
+  LEFT JOIN recurring.d k ON k.source = x.source AND k.node = x.node WHERE k.length IS NULL OR x.best.l < k.length OR (x.best.l = k.length AND x.best.h < k.hops)),
+t AS (SELECT a.source, a.node, a.hops, min(r.u) AS pred FROM d a JOIN roads r ON r.v = a.node JOIN d b ON b.source = a.source AND b.node = r.u AND b.length + r.length_m = a.length AND b.hops + 1 = a.hops GROUP BY 1, 2, 3),
+w AS (SELECT segment, CASE WHEN f.source IS NULL THEN 'reverse' ELSE 'forward' END AS way, CASE WHEN f.source IS NULL THEN e ELSE s END AS source, CASE WHEN f.source IS NULL THEN s ELSE e END AS target
+  FROM ends2 LEFT JOIN d f ON f.source = s AND f.node = e WHERE s <> e),
+p(segment, way, source, u, v, position) AS (SELECT segment, way, w.source, pred, node, hops - 1 FROM w JOIN t ON t.source = w.source AND t.node = w.target UNION ALL SELECT p.segment, way, p.source, t.pred, t.node, t.hops - 1 FROM p JOIN t ON t.source = p.source AND t.node = p.u),
+o AS (SELECT segment, u, v, CAST(position AS BIGINT) AS position, way FROM p UNION ALL SELECT segment, u, v, 0, 'node' FROM ends2 JOIN roads ON u = s WHERE s = e)
+SELECT a.segment, o.u, o.v, o.position, o.way, CASE WHEN way = 'node' THEN 0.0 ELSE ROUND({DIST}, 3) END AS metres
+FROM o JOIN segments a ON a.segment = o.segment JOIN (SELECT x.u AS u, y.u AS v, (x.lat + y.lat) / 2 AS lat, (x.lon + y.lon) / 2 AS lon FROM edges x, edges y) b ON b.u = o.u AND b.v = o.v""")
+def segment_paths(spark, d):
+    return paths.matched(segments(spark, d), roads(spark, d), places(spark, d)).withColumn("metres", F.round("metres", 3))

@@ -74,3 +74,33 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 EDGES = """edges AS (SELECT s_suppkey AS u, (s_suppkey * 7 + 3) % (SELECT COUNT(*) FROM supplier) AS v, 10.76::DOUBLE + (s_suppkey % 45) / 1000.0::DOUBLE AS lat,
  106.675::DOUBLE + (s_suppkey % 40) / 1000.0::DOUBLE AS lon, 50.0::DOUBLE + (s_suppkey * 37) % 450 AS length_m, CAST(s_nationkey AS BIGINT) AS kind, s_name AS street FROM supplier)"""
+
+
+def roads(spark: SparkSession, d: str) -> DataFrame:
+    """The edges, and a ring through all nodes; nodes 24, 49, ... have no way out."""
+    e = edges(spark, d)
+    n = e.agg(F.count("*").alias("n"))
+    ring = e.select("u").crossJoin(F.broadcast(n)).select("u", ((F.col("u") + 1) % F.col("n")).alias("v"), (F.lit(60.0) + (F.col("u") * 53) % 200).alias("length_m"))
+    return e.select("u", "v", "length_m").unionByName(ring).where("u % 25 <> 24")
+
+
+def places(spark: SparkSession, d: str) -> DataFrame:
+    return edges(spark, d).select(F.col("u").alias("node"), "lat", "lon")
+
+
+def segments(spark: SparkSession, d: str) -> DataFrame:
+    """Probe segments over customers: from near one node to near another a few nodes on."""
+    n = table(spark, d, "supplier").agg(F.count("*").alias("n"))
+    c = table(spark, d, "customer").crossJoin(F.broadcast(n)).select(F.col("c_custkey").alias("segment"), (F.col("c_custkey") % F.col("n")).alias("a"), ((F.col("c_custkey") + F.col("c_custkey") % 7) % F.col("n")).alias("b"))
+    at = lambda k, by: (F.lit(10.76) + (F.col(k) % 45) / F.lit(1000.0) + F.lit(by), F.lit(106.675) + (F.col(k) % 40) / F.lit(1000.0) + F.lit(by))
+    (lat_a, lon_a), (lat_b, lon_b) = at("a", 0.0002), at("b", -0.0001)
+    c = c.select("segment", lat_a.alias("lat_start"), lon_a.alias("lon_start"), lat_b.alias("lat_end"), lon_b.alias("lon_end"))
+    return c.withColumns({"lat": (F.col("lat_start") + F.col("lat_end")) / 2, "lon": (F.col("lon_start") + F.col("lon_end")) / 2})
+
+
+ROADS = EDGES + """, roads AS (SELECT u, v, MIN(length_m) AS length_m FROM (SELECT u, v, length_m FROM edges UNION ALL
+  SELECT u, (u + 1) % (SELECT COUNT(*) FROM edges), 60.0::DOUBLE + (u * 53) % 200 FROM edges) WHERE u % 25 <> 24 AND u <> v GROUP BY 1, 2)"""
+
+SEGMENTS = """segments AS (SELECT *, (lat_start + lat_end) / 2 AS lat, (lon_start + lon_end) / 2 AS lon FROM (SELECT segment, 10.76::DOUBLE + (a % 45) / 1000.0::DOUBLE + 0.0002::DOUBLE AS lat_start, 106.675::DOUBLE + (a % 40) / 1000.0::DOUBLE + 0.0002::DOUBLE AS lon_start,
+  10.76::DOUBLE + (b % 45) / 1000.0::DOUBLE - 0.0001::DOUBLE AS lat_end, 106.675::DOUBLE + (b % 40) / 1000.0::DOUBLE - 0.0001::DOUBLE AS lon_end
+  FROM (SELECT c_custkey AS segment, c_custkey % n AS a, (c_custkey + c_custkey % 7) % n AS b FROM customer, (SELECT COUNT(*) AS n FROM supplier))))"""
