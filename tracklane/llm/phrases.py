@@ -24,7 +24,7 @@ WORDS = 1 << 22
 #: Bytes of text worked on at once; a longer text is hashed in parts.
 BLOCK = 1 << 20
 #: Keys that a task sorts at once.
-KEYS = 1 << 21
+KEYS = 1 << 20
 #: Keys, about, of a sample of documents that ranges are cut by; they decide how even ranges are, not what is counted.
 SAMPLE = 200_000
 #: Words that meet in a group where the dictionary is joined.
@@ -48,14 +48,16 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[
     texts: list[bytes] = []
     size = 0
     for b in batches:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-            if text:
-                langs.append("und" if lang is None else lang)
-                texts.append(text)
-                size += len(text) + 1
-                if size >= BLOCK:
-                    yield langs, texts
-                    langs, texts, size = [], [], 0
+        for i in range(0, b.num_rows, 64):
+            some = b.slice(i, 64)
+            for lang, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if text:
+                    langs.append("und" if lang is None else lang)
+                    texts.append(text)
+                    size += len(text) + 1
+                    if size >= BLOCK:
+                        yield langs, texts
+                        langs, texts, size = [], [], 0
     if texts:
         yield langs, texts
 
@@ -281,16 +283,16 @@ def collocations(docs: DataFrame, least: int = 30, top: int = 2000, within: int
     keep = [] if keep is None else keep
     d = docs.select(docs[lang].cast("string").alias("lang"), docs[text].alias("text"))
     for base in _bases():
-        named = F.struct("lang", "word")
-        c = d.mapInArrow(_counter(base), "k long, lang string, word string, n long")
-        c = c.groupBy("k", F.when(F.col("word").isNull(), F.col("lang")).alias("all_of")).agg(F.sum("n").alias("n"), F.min(named).alias("w"), F.max(named).alias("w2"))
-        c = written(c.where((F.col("n") >= least) | F.col("all_of").isNotNull()), keep)
-        if c.where("all_of IS NULL AND w != w2").isEmpty():  # else two words share a hash
+        every = d.mapInArrow(_counter(base), "k long, lang string, word string, n long")
+        every = written(every.groupBy("k", "lang", "word").agg(F.sum("n").alias("n")), old)
+        mixed_up = every.where("word IS NOT NULL").groupBy("k").agg(F.count("*").alias("words"), F.sum("n").alias("n")).where((F.col("words") > 1) & (F.col("n") >= least))
+        if mixed_up.isEmpty():  # else a frequent word shares its hash with another
             break
-        dropped(spark, keep[-1:])
-        keep.pop()
-    totals = c.where("all_of IS NOT NULL").select(F.col("all_of").alias("lang"), F.col("n").alias("all_words"))
-    words = written(_numbered(c.where("all_of IS NULL").select("k", "w.lang", "w.word", "n"), old), keep)
+        dropped(spark, old)
+    c = written(every.where((F.col("n") >= least) | F.col("word").isNull()), keep)
+    dropped(spark, old)
+    totals = c.where("word IS NULL").select("lang", F.col("n").alias("all_words"))
+    words = written(_numbered(c.where("word IS NOT NULL"), old), keep)
     dropped(spark, old)
     many, total = words.count(), totals.agg(F.sum("all_words")).first()[0] or 0
     if not many:
