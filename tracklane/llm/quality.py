@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER_BYTES, plain, word_hashes, word_spans
 
-#: SAMPLE documents of at most SAMPLE_PASSAGES passages each are fitted on; both bound the driver's memory.
+#: SAMPLE documents are fitted on, by SAMPLE_PASSAGES passages each at most; both bound the driver's memory.
 PASSAGE, SAMPLE, SAMPLE_PASSAGES, HIDDEN, EPOCHS, RATE = 400, 6000, 256, 16, 250, 0.03
 
 #: Byte classes: each ASCII sign that is no letter, digit or space by itself; letters of either case, digits, spaces, others.
@@ -105,15 +105,16 @@ def scored(bag: np.ndarray, p: dict) -> tuple[float, np.ndarray]:
 
 
 def learned(docs: DataFrame, labels: DataFrame, train: Column, text: str = "text", key: str = "doc_id", label: str = "quality") -> dict:
-    """Fit on a sample of the labelled rows where train holds: those with the least hashes of the key."""
+    """Fit on a sample of the labelled rows where train holds: those with the least hashes of the key; of a document of
+    over SAMPLE_PASSAGES passages, as many at even distances."""
     y = labels.where(train & F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).alias("key")).agg(F.min(label).cast("double").alias("y"))
     chosen = y.orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            bags = [encoded(t) for t in b["text"]]
-            small = [i for i, x in enumerate(bags) if len(x) <= SAMPLE_PASSAGES]
-            yield pd.DataFrame({"key": b["key"].iloc[small], "y": b["y"].iloc[small], "bag": [bags[i].ravel() for i in small]})
+            # of a longer document, passages at even distances
+            bags = [x[np.linspace(0, len(x) - 1, min(len(x), SAMPLE_PASSAGES)).astype(int)].ravel() for x in map(encoded, b["text"])]
+            yield pd.DataFrame({"key": b["key"], "y": b["y"], "bag": pd.Series(bags, b.index, object)})
 
     kind = docs.schema[key].dataType.simpleString()
     d = plain(docs, key, text).toDF("key", "text").join(F.broadcast(chosen), "key")  # SAMPLE rows at most
