@@ -24,7 +24,11 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, dropped, shuffle_partitions, word_spans, written
 
 #: STATES x CLASSES numbers are all that a task holds of the model.
-STATES, CLASSES, ROUNDS, PRIOR, CHUNK, SEGMENT, RESCALE, BLOCK_BYTES = 6, 4096, 11, 20.0, 64, 128, 8, 8_000_000
+STATES, CLASSES, ROUNDS, PRIOR, CHUNK, SEGMENT, RESCALE, BLOCK_BYTES = 6, 4096, 11, 20.0, 64, 128, 4, 8_000_000
+#: Of a state's emissions and moves, the shares that priors have at least. With them no word is less than a ten
+#: thousandth as likely in a state as in the corpus however large that is, which keeps vectors within single precision
+#: for RESCALE steps.
+LEAST_EMITTED, LEAST_MOVED = 1e-4, 1e-6
 END = b""
 
 
@@ -204,9 +208,17 @@ def baum_welch_round(seqs: DataFrame, model: tuple, share: np.ndarray) -> tuple[
     got = seqs.mapInPandas(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow().to_pandas()
     sums = np.zeros(width)
     sums[got.i.to_numpy()] = got.x.to_numpy()
-    begin, moves = sums[:STATES] + 0.1, sums[STATES : STATES + STATES**2].reshape(STATES, STATES) + 0.1
-    emitted = sums[STATES + STATES**2 : -1].reshape(STATES, CLASSES) + PRIOR * share
-    return (begin / begin.sum(), moves / moves.sum(1, keepdims=True), emitted / emitted.sum(1, keepdims=True)), float(sums[-1])
+    return maximized(sums[:STATES], sums[STATES : STATES + STATES**2].reshape(STATES, STATES), sums[STATES + STATES**2 : -1].reshape(STATES, CLASSES), share), float(sums[-1])
+
+
+def maximized(begin: np.ndarray, moves: np.ndarray, emitted: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parameters from expected counts and priors."""
+    begin = begin + 0.1
+    moves = moves + np.maximum(0.1, LEAST_MOVED * moves.sum(1, keepdims=True))
+    emitted = emitted + np.maximum(PRIOR, LEAST_EMITTED * emitted.sum(1, keepdims=True)) * share
+    if not all(np.isfinite(x).all() for x in (begin, moves, emitted)):
+        raise ArithmeticError("expected counts that are no numbers")
+    return begin / begin.sum(), moves / moves.sum(1, keepdims=True), emitted / emitted.sum(1, keepdims=True)
 
 
 def stationary(trans: np.ndarray) -> np.ndarray:
