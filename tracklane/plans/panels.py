@@ -107,11 +107,12 @@ def line_graph(spark, d):
     return e.join(b, "p").where("edge <> b").select(F.col("edge").alias("a"), "b").distinct()
 
 
-@query("eval_grid", "SELECT s AS split, CAST(l AS BIGINT) AS lag, m AS method FROM (SELECT unnest(['val', 'test']) AS s), (SELECT unnest([1, 3, 6, 9]) AS l), (SELECT unnest(['none', 'persistence', 'true']) AS m)")
+@query("eval_grid", "SELECT * FROM (SELECT DISTINCT l_linestatus AS split FROM lineitem), (SELECT DISTINCT l_linenumber AS lag FROM lineitem), (SELECT DISTINCT l_returnflag AS method FROM lineitem)")
 def eval_grid(spark, d):
-    one = spark.range(1)
-    a = lambda xs, n, t: one.select(F.explode(F.array(*[F.lit(x).cast(t) for x in xs])).alias(n))
-    return a(["val", "test"], "split", "string").crossJoin(a([1, 3, 6, 9], "lag", "bigint")).crossJoin(a(["none", "persistence", "true"], "method", "string"))
+    """Every split, lag and method that a table of evaluations names, together; each is a short list of names."""
+    l = table(spark, d, "lineitem")
+    names = lambda c, name: F.broadcast(l.select(F.col(c).alias(name)).distinct())
+    return l.select(F.col("l_linestatus").alias("split")).distinct().crossJoin(names("l_linenumber", "lag")).crossJoin(names("l_returnflag", "method"))
 
 
 @query("history_frame", f"WITH {PANEL} SELECT node, date, COUNT(*) OVER w AS n, ROUND(AVG(speed) OVER w, 6) AS mean FROM panel WINDOW w AS (PARTITION BY node ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions import time as T
 from ..operators import clean, series
+from ..shared import shared_dir
+from ..sources import arrays, jobs
 from .views import EDGES, OBS, PANEL, TYPES, edges, obs, panel, query, r6, table, types
 
 
-@query("calendar_slots", """SELECT CAST(d AS DATE) AS date, CAST(s AS BIGINT) AS slot, 'Slot_' || lpad(CAST((360 + s * 15) // 60 AS VARCHAR), 2, '0') || lpad(CAST((360 + s * 15) % 60 AS VARCHAR), 2, '0') AS time_set
- FROM (SELECT unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS d), (SELECT unnest(generate_series(0, 23)) AS s)""")
+@query("calendar_slots", f"""WITH {OBS}, r AS (SELECT min(date) AS a, max(date) AS b FROM obs)
+SELECT CAST(d AS DATE) AS date, CAST(s AS BIGINT) AS slot, 'Slot_' || lpad(CAST((360 + s * 15) // 60 AS VARCHAR), 2, '0') || lpad(CAST((360 + s * 15) % 60 AS VARCHAR), 2, '0') AS time_set
+ FROM (SELECT unnest(generate_series(a, b, INTERVAL 1 DAY)) AS d FROM r), (SELECT unnest(generate_series(0, 23)) AS s)""")
 def calendar_slots(spark, d):
-    days = spark.range(1).select(F.explode(F.expr("sequence(date'2024-01-01', date'2024-01-31', interval 1 day)")).alias("date"))
+    """The slots to be collected for each day from the first to the last that was observed."""
+    r = obs(spark, d).agg(F.min("date").alias("a"), F.max("date").alias("b")).where("a IS NOT NULL")
+    days = r.select(F.explode(F.sequence("a", "b")).alias("date"))
     m = 360 + F.col("slot") * 15
     out = days.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(23).cast("bigint"))))
     return out.select("date", "slot", F.concat(F.lit("Slot_"), F.lpad(F.floor(m / 60).cast("string"), 2, "0"), F.lpad((m % 60).cast("string"), 2, "0")).alias("time_set"))
@@ -26,9 +33,45 @@ def json_flatten(spark, d):
     return e.where("p.k is not null").select("event_id", F.col("p.k").alias("k"), F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("part"))
 
 
-@query("scan_all", "SELECT l_returnflag, COUNT(*) AS n, ROUND(SUM(l_quantity), 6) AS quantity FROM lineitem GROUP BY 1")
+def _log(spark, d):
+    """A log of array containers: lineitem in two batches."""
+    arrays.register(spark)
+    path = f"{shared_dir(spark)}/lineitem-{uuid.uuid4().hex}"
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_shipdate")
+    for part in ("l_linenumber <= 2", "l_linenumber > 2"):
+        l.where(part).write.format("arrays").mode("append").save(path)
+    return path
+
+
+@query("scan_all", "SELECT l_returnflag, COUNT(*) AS n, ROUND(SUM(l_quantity), 6) AS quantity, CAST(MAX(l_shipdate) AS DATE) AS last FROM lineitem GROUP BY 1")
 def scan_all(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"))
+    """All batches of an append log."""
+    log = spark.read.format("arrays").load(_log(spark, d))
+    return log.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 6).alias("quantity"), F.max("l_shipdate").cast("date").alias("last"))
+
+
+@query("scan_latest", "SELECT l_orderkey, l_linenumber, l_returnflag, l_quantity, l_shipdate FROM lineitem WHERE l_linenumber > 2")
+def scan_latest(spark, d):
+    """The latest batch of an append log, row by row."""
+    return spark.read.format("arrays").option("mode", "latest").load(_log(spark, d))
+
+
+@query("job_scan", f"""WITH {OBS} SELECT 'job-' || segment_id AS job_id, CAST(segment_id AS VARCHAR) AS segment_id, CAST(date AS VARCHAR) AS date_range, CASE WHEN slot % 8 = 5 THEN CAST(slot AS VARCHAR) ELSE time_set END AS time_set, speed AS average_speed, CAST(sample_size AS DOUBLE) AS sample_size
+FROM obs WHERE segment_id % 10 <> 0""")
+def job_scan(spark, d):
+    """Nested job documents, one for each segment, flattened; some time sets have no label, some segments no shape."""
+    o = obs(spark, d).withColumn("day", F.unix_date("date").cast("string"))
+    result = F.struct(F.col("slot").cast("string").alias("timeSet"), F.col("day").alias("dateRange"), F.col("speed").alias("averageSpeed"), F.col("sample_size").cast("double").alias("sampleSize"))
+    g = o.groupBy("segment_id").agg(
+        F.collect_list(result).alias("results"),
+        F.collect_set(F.struct(F.col("day").alias("@id"), F.col("date").cast("string").alias("name"))).alias("dateRanges"),
+        F.collect_set(F.when(F.col("slot") % 8 != 5, F.struct(F.col("slot").cast("string").alias("@id"), F.col("time_set").alias("name")))).alias("timeSets"),
+    )
+    shape = F.when(F.col("segment_id") % 10 != 0, F.array(F.struct(F.lit(10.7).alias("latitude"), F.lit(106.7).alias("longitude")))).otherwise(F.array())
+    segment = F.struct(F.col("segment_id").cast("string").alias("segmentId"), F.lit(12.5).alias("distance"), shape.alias("shape"), F.col("results").alias("segmentTimeResults"))
+    job = F.struct(F.concat(F.lit("job-"), F.col("segment_id").cast("string")).alias("jobName"), "dateRanges", "timeSets", F.struct(F.array(segment).alias("segmentResults")).alias("network"))
+    flat = jobs.flattened(g.select(F.lit("").alias("source_file"), F.to_json(job).alias("text")))
+    return flat.select("job_id", "segment_id", "date_range", "time_set", "average_speed", "sample_size")
 
 
 @query("first_per_key", "SELECT c_nationkey, c_custkey, c_name FROM customer QUALIFY ROW_NUMBER() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) = 1")
