@@ -61,5 +61,5 @@ def observations(good: DataFrame) -> DataFrame:
     return r.select(
         F.col("m.jobName").alias("job_id"), F.col("key").alias("segment_id"), F.col("m.segment.distance").alias("distance"), F.col("m.segment.frc").alias("frc"), F.col("m.segment.speedLimit").alias("speed_limit"),
         name(F.col("m.dateRanges"), F.col("r.dateRange")).alias("date_range"), name(F.col("m.timeSets"), F.col("r.timeSet")).alias("time_set"),
-        F.col("r.averageSpeed").alias("average_speed"), F.col("r.harmonicAverageSpeed").alias("harmonic_average_speed"), F.col("r.medianSpeed").alias("median_speed"), F.col("r.sampleSize").alias("sample_size"),
+        F.col("r.averageSpeed").alias("average_speed"), F.col("r.harmonicAverageSpeed").alias("harmonic_average_speed"), F.col("r.medianSpeed").alias("median_speed"), F.col("r.standardDeviationSpeed").alias("std_speed"), F.col("r.sampleSize").alias("sample_size"),
     )
