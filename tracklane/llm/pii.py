@@ -2,11 +2,13 @@
 
 Rules find e-mail addresses, IP addresses, card and phone numbers. The bootstrap's instances are whole runs of grouped
 digits, and words with digits, an @, an assignment or capitals only, each with what stands before and after it. Seeds
-are instances that a rule's span covers, and values of 16 or more mixed letters and digits. Lexical patterns: what is
+are instances that a rule's span covers, and values assigned to the name of a secret (SECRET). Lexical patterns: what is
 assigned to, the words before (and after) together with the form of the value, its form and length, and its first
-letters and length. On the graph of patterns and instances, a pattern's confidence is the smoothed mean of its
-instances' confidence, an instance's the best of its confident patterns'; this is repeated until no pattern becomes
-confident any more. Instances of high confidence that no rule knows are added wherever they occur.
+letters and length. On the graph of patterns and instances, a pattern of SUPPORT confident instances is as confident as
+the smoothed mean of all its instances, an instance as the best of its confident patterns; this is repeated
+until nothing changes. A form alone proves nothing, since commit hashes look like keys and part numbers like accounts:
+an instance needs confident patterns of two kinds, one of them of its context. Instances of high confidence that no
+rule knows are added wherever they occur.
 """
 
 from __future__ import annotations
@@ -33,8 +35,13 @@ INSTANCE = (
 #: A name and an assignment sign before a value in one word, and a value that looks random.
 ASSIGNED = r"^[A-Za-z_][A-Za-z_.-]{1,31}[=:](?!//)[\"']?"
 RANDOM = r"^(?=(?:[^0-9]*[0-9]){2})(?=(?:[^A-Za-z]*[A-Za-z]){2})[A-Za-z0-9+/_-]{16,}$"
+#: Assignments to names of secrets, lower-cased; what is assigned is a seed if it has SECRET_LENGTH characters.
+SECRET = r"(?:^|[^a-z])(?:passwords?|passwd|passphrase|pwd|secrets?|tokens?|apikey|(?:api|access|auth|private|secret)[_-]?keys?|credentials?)[\x20\x09-\x0D]?[=:]$"
+SECRET_LENGTH = 8
 
-MOST_ROUNDS, CONFIDENT, SUPPORT, MIN_DIGITS = 32, 0.6, 3, 5
+CONFIDENT, SUPPORT, MIN_DIGITS = 0.6, 3, 5
+#: Kinds of patterns that tell the form of a value; the others tell its context.
+FORMS = ("form", "head")
 STEP = 256
 
 
@@ -162,33 +169,35 @@ def patterns(word: Column, left: Column, left2: Column, right: Column) -> Column
     ))
 
 
-def bootstrap(instances: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def bootstrap(instances: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Confident words among instances (word, left, left2, right, seed), seeds included: rows (word, confidence).
 
-    Edges are distinct pairs of word and pattern. A pattern needs SUPPORT seeds; its confidence is the sum of its
-    words' confidence over their number and one; from CONFIDENT on, it passes its confidence on to its words. Rounds
-    end when the confident patterns and what they add stay the same (confidences only rise, so they do).
+    Edges are distinct pairs of word and pattern. A pattern needs SUPPORT confident words; its confidence is the sum of
+    its words' confidence over their number and one; from CONFIDENT on it counts for its words, which take the best of
+    theirs if these are of two kinds, one of them no form. Confidences are cut to hundredths and only rise, so rounds end.
     """
-    spark, old = instances.sparkSession, []
+    spark, old, keep = instances.sparkSession, [], [] if keep is None else keep
     edges = written(instances.select("word", F.col("seed").cast("int").alias("seed"), F.explode(patterns(*map(F.col, ("word", "left", "left2", "right")))).alias("pattern")).groupBy("word", "pattern").agg(F.max("seed").alias("seed")), old)
+    words = written(edges.groupBy("word").agg(F.max("seed").alias("seed")), old)
     # patterns that can't get SUPPORT take no part
-    able = edges.groupBy("pattern").agg(F.sum("seed").alias("support"), F.count("*").alias("n")).where(F.col("support") >= SUPPORT).select("pattern", "n")
-    edges = written(edges.join(able, "pattern"), old)
-    state = written(edges.groupBy("word").agg(F.max("seed").alias("seed"), F.lit(0.0).alias("p")), now := [])
+    able = edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT)
+    edges = written(edges.join(able, "pattern").select("word", "pattern", "n"), old)
+    state = written(words.withColumn("p", F.col("seed") * 100), now := [])
     before = None
-    for _ in range(most_rounds):
-        held = F.greatest(F.col("p"), F.col("s").cast("double"))
-        strong = edges.select("word", "pattern", "n").join(state.select("word", F.col("seed").alias("s"), "p"), "word").groupBy("pattern", "n").agg(F.sum(held).alias("sum"))
-        strong = strong.select("pattern", (F.col("sum") / (F.col("n") + 1)).alias("q")).where(F.col("q") >= CONFIDENT)
-        words = edges.select("word", "pattern").join(strong, "pattern").groupBy("word").agg(F.max("q").alias("q"))
+    while True:
+        strong = edges.join(state.where("p > 0").select("word", "p"), "word").groupBy("pattern", "n").agg(F.sum("p").alias("sum"), F.count("*").alias("support"))
+        strong = strong.select("pattern", F.floor(F.col("sum") / (F.col("n") + 1)).cast("int").alias("q")).where((F.col("q") >= int(100 * CONFIDENT)) & (F.col("support") >= SUPPORT))
+        kind = F.split_part("pattern", F.lit(" "), F.lit(1))
+        told = edges.select("word", "pattern").join(strong, "pattern").groupBy("word").agg(F.max("q").alias("q"), F.count_distinct(kind).alias("kinds"), F.max((~kind.isin(*FORMS)).cast("int")).alias("context"))
+        told = told.where("kinds > 1 AND context = 1").select("word", "q")
         last, now = now, []
-        state = written(state.join(words, "word", "left").select("word", "seed", F.coalesce("q", F.lit(0.0)).alias("p")), now)
-        after = state.agg(F.count_if(F.col("p") > 0), F.round(F.sum("p"), 3)).first()
+        state = written(state.join(told, "word", "left").select("word", "seed", F.greatest(F.col("p"), F.coalesce("q", F.lit(0))).alias("p")), now)
+        after = state.agg(F.sum("p")).first()[0]
         dropped(spark, last)
         if after == before:
             break
         before = after
-    found = written(state.where(F.col("p") >= CONFIDENT).select("word", F.col("p").alias("confidence")))
+    found = written(state.where("p > 0").select("word", (F.col("p") / 100).alias("confidence")), keep)
     dropped(spark, old + now)
     return found
 
@@ -198,7 +207,8 @@ def extracted(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple
     survey = written(_surveyed(docs, text, key))
     covered = lambda w: F.exists("base", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
     seen = survey.where(F.size("words") > 0).select("key", "h", F.explode(F.transform("words", lambda w: w.withField("known", covered(w)))).alias("w")).select("key", "h", "w.*")
-    seen = written(seen.withColumn("seed", F.col("known") | F.col("word").rlike(RANDOM)))
+    secret = F.col("left").rlike(SECRET) & (F.length("word") >= SECRET_LENGTH) & F.col("word").rlike("[0-9]")
+    seen = written(seen.withColumn("seed", F.col("known") | secret))
     found = bootstrap(seen)
     hits = seen.where(~F.col("known")).join(found, "word")
     return survey.drop("words"), hits.groupBy("key", "h").agg(F.collect_set(F.struct("start", F.lit(KINDS.index("found")).alias("kind"), "end")).alias("added"))
