@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
-from ..operators import clean, graphs, paths, series
+from ..operators import clean, graphs, paths, recurrence, series
 from .prepare import DIST, POS, _split
 from .views import EDGES, OBS, PANEL, ROADS, SEGMENTS, TYPES, edges, obs, panel, places, query, r6, roads, segments, table, types
 
@@ -329,7 +329,8 @@ def rolling_std(spark, d):
 
 @query("ema", f"WITH {OBS} SELECT event_id, ROUND(list_reduce(list(speed) OVER ({W} ROWS UNBOUNDED PRECEDING), lambda a, x: a * (5 / 7.0::DOUBLE) + x * (2 / 7.0::DOUBLE)), 6) AS ema FROM obs")
 def ema(spark, d):
-    return obs(spark, d).select("event_id", r6(series.ema("speed", series.past(["segment_id", "date"], ["event_id"]))).alias("ema"))
+    o = obs(spark, d).select("segment_id", "date", "event_id", "speed")
+    return recurrence.exponential_mean(o, ["segment_id", "date"], ["event_id"], "speed", "ema").select("event_id", r6("ema").alias("ema"))
 
 
 @query("zscore_segment", f"WITH {PANEL} SELECT node, date, ROUND((speed - AVG(speed) OVER w) / (STDDEV_SAMP(speed) OVER w + 1e-6), 6) + 0.0 AS z FROM panel WINDOW w AS (PARTITION BY node)")
