@@ -67,3 +67,46 @@ def test_links_are_decided_exactly(spark):
     want = kept(texts)
     assert 48 < len(want) < 96
     assert got(spark, texts) == want
+
+
+def test_pairs_grow_with_copies_of_an_absent_original(spark, monkeypatch):
+    """Copies of 250 absent words, three edits each, of which about a quarter of all pairs are similar enough: the groups are those of all pairs, and the pairs that are compared
+    grow about as the texts."""
+    from tracklane.llm import jaccard
+
+    pairs = []
+    real = jaccard.rounds
+
+    def counted(x, met, verified, old):
+        return real(x, met, lambda p: verified(pairs.append(p.distinct().count()) or p), old)
+
+    monkeypatch.setattr(jaccard, "rounds", counted)
+    counts = {}
+    for n in (300, 900):
+        r = np.random.default_rng(9)
+        original, texts = words(r, 250), []
+        for _ in range(n):
+            own = list(original)
+            for i in r.choice(250, 3, replace=False).tolist():
+                own[i] = f"x{r.integers(10**9)}"
+            texts.append(" ".join(own))
+        pairs.clear()
+        assert got(spark, texts) == (kept(texts) if n < 400 else [0])
+        counts[n] = sum(pairs)
+    assert counts[900] < 3.6 * counts[300] and counts[900] < 60 * 900, counts
+
+
+def test_strays_that_never_join_are_all_compared(spark):
+    """Texts that share most of what they have but less than the similarity, and a few copies among them."""
+    r = np.random.default_rng(10)
+    base, texts = words(r, 150), []
+    for i in range(60):
+        own = list(base)
+        for k in r.choice(150, 8, replace=False).tolist():
+            own[k] = f"y{r.integers(10**9)}"
+        texts.append(" ".join(own))
+        if i % 6 == 0:
+            texts.append(" ".join([*own[:-1], "end"]))
+    want = kept(texts)
+    assert 50 < len(want) <= 60
+    assert got(spark, texts) == want
