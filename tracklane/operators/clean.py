@@ -8,6 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import quantiles
+
 
 def errors(checks: dict[str, Column]) -> tuple[Column, Column]:
     """is_valid and the messages of the checks that fail (a null check fails)."""
@@ -44,9 +46,9 @@ def drop_invalid(df: DataFrame, speeds: list[str], sample: str, least: int = 10)
 
 
 def to_kilometres(df: DataFrame, column: str, limit: float = 50) -> DataFrame:
-    """Divide by 1000 where the median of the whole column is over the limit; the median is one broadcast row."""
-    m = df.agg(F.median(column).alias("__median"))
-    return df.crossJoin(F.broadcast(m)).withColumn(column, F.when(F.col("__median") > limit, F.col(column) / 1000).otherwise(F.col(column))).drop("__median")
+    """Divide by 1000 where the median of the whole column is over the limit."""
+    m = quantiles(df, column, [0.5])[None][0]
+    return df.withColumn(column, F.col(column) / 1000) if m is not None and m > limit else df
 
 
 def interpolate(df: DataFrame, keys: list[str], order: list[str], column: str, limit: int | None = 3) -> DataFrame:
@@ -63,21 +65,21 @@ def interpolate(df: DataFrame, keys: list[str], order: list[str], column: str, l
     near = F.lit(True) if limit is None else F.coalesce((i - a["i"]) <= limit, F.lit(False)) | F.coalesce((b["i"] - i) <= limit, F.lit(False))
     df = df.withColumn("__x", F.coalesce(F.col(column), F.when(near, line)))
     df = df.withColumn("__x", F.coalesce("__x", F.median("__x").over(Window.partitionBy(*keys))))
-    every = df.agg(F.median("__x").alias("__m"))
-    return df.crossJoin(F.broadcast(every)).withColumn(column, F.coalesce("__x", "__m")).drop("__i", "__a", "__b", "__x", "__m")
+    every = F.lit(quantiles(df, "__x", [0.5])[None][0]).cast("double")
+    return df.withColumn(column, F.coalesce("__x", every)).drop("__i", "__a", "__b", "__x")
 
 
 def iqr_cap(df: DataFrame, keys: list[str], column: str, k: float = 1.5, least: float = 1.0) -> DataFrame:
     """Cap at k interquartile ranges outside a group's quartiles; groups with a range under least use all rows' ones."""
     q = lambda p, *by: F.percentile(column, F.lit(p))
     own = df.groupBy(*keys).agg(q(0.25).alias("__1"), q(0.75).alias("__3"))
-    every = df.agg(q(0.25).alias("__g1"), q(0.75).alias("__g3"))
-    df = df.join(own, keys).crossJoin(F.broadcast(every))
+    g1, g3 = (F.lit(x).cast("double") for x in quantiles(df, column, [0.25, 0.75])[None])
+    df = df.join(own, keys)
     wide = F.col("__3") - F.col("__1") >= least
-    low, high = F.when(wide, F.col("__1")).otherwise(F.col("__g1")), F.when(wide, F.col("__3")).otherwise(F.col("__g3"))
+    low, high = F.when(wide, F.col("__1")).otherwise(g1), F.when(wide, F.col("__3")).otherwise(g3)
     x = F.col(column)
     capped = F.when(x.isNotNull(), F.greatest(low - k * (high - low), F.least(high + k * (high - low), x)))
-    return df.withColumn(column, capped).drop("__1", "__3", "__g1", "__g3")
+    return df.withColumn(column, capped).drop("__1", "__3")
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:

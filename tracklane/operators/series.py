@@ -53,8 +53,9 @@ def pairs(panel: DataFrame, node: str, time: str, value: str, ordered: bool = Tr
 BLOCK = 256
 
 
-def block_corr(panel: DataFrame, node: str, time: str, value: str, block: int = BLOCK) -> DataFrame:
-    """(i, j, corr, n) of all pairs i < j of nodes over the times that both have, with guarded_corr's rules.
+def block_corr(panel: DataFrame, node: str, time: str, value: str, block: int = BLOCK, reduced=None) -> DataFrame:
+    """(i, j, corr, n) of all pairs i < j of nodes over the times that both have, with guarded_corr's rules; reduced
+    may make less of what a pair of blocks has found, in the task that found it.
 
     Nodes are dealt to blocks by hash; each block of rows goes to the pairs of blocks that it takes part in, and a
     pair of blocks is one product of dense matrices (nodes of one x times by times x nodes of the other). So what is
@@ -93,11 +94,33 @@ def block_corr(panel: DataFrame, node: str, time: str, value: str, block: int =
         i, j = np.nonzero((n > 0) & (a[:, None] < b[None, :] if low == high else np.ones(n.shape, bool)))
         u, v = a[i], b[j]
         swap = u > v
-        return pd.DataFrame({"i": np.where(swap, v, u), "j": np.where(swap, u, v), "corr": r[i, j], "n": n[i, j].astype(np.int64)})
+        found = pd.DataFrame({"i": np.where(swap, v, u), "j": np.where(swap, u, v), "corr": r[i, j], "n": n[i, j].astype(np.int64)})
+        return found if reduced is None else reduced(found)
 
     return p.groupBy("low", "high").applyInPandas(product, f"i {kind}, j {kind}, corr double, n bigint")
 
 
+def block_top(panel: DataFrame, node: str, time: str, value: str, k: int, absolute: bool = False, block: int = BLOCK) -> DataFrame:
+    """(i, j, corr) of block_corr() in both directions, of which each pair of blocks keeps a node's k best partners by the
+    correlation, or its absolute value, and then the smaller j: enough for any ranking of the first k, and
+    k rows for each node and block instead of one for each pair."""
+    import numpy as np
+    import pandas as pd
+
+    def best(found: pd.DataFrame) -> pd.DataFrame:
+        i = np.concatenate([found["i"].to_numpy(), found["j"].to_numpy()])
+        j = np.concatenate([found["j"].to_numpy(), found["i"].to_numpy()])
+        r = np.tile(found["corr"].to_numpy(float), 2)
+        order = np.lexsort((j, -(np.abs(r) if absolute else r), i))
+        i, j, r = i[order], j[order], r[order]
+        first = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1]))) if len(i) else np.zeros(0, int)
+        place = np.arange(len(i)) - np.repeat(first, np.diff(np.append(first, len(i))))
+        keep = place < k
+        return pd.DataFrame({"i": i[keep], "j": j[keep], "corr": r[keep], "n": np.zeros(int(keep.sum()), np.int64)})
+
+    return block_corr(panel, node, time, value, block, best).drop("n")
+
+
 def rolling_corr(panel: DataFrame, node: str, time: str, value: str, window: int = 10) -> DataFrame:
     """(i, j, time, corr) of every full window of the last rows of each pair."""
     p = pairs(panel, node, time, value)

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import measures as M
-from ..operators import series
+from ..operators import graphs, series
+from ..operators.quantiles import quantiles
 from .prepare import DIST
 from .views import EDGES, OBS, PANEL, TYPES, edges, obs, panel, query, r6, table, types
 
@@ -54,9 +55,11 @@ def pair_corr(spark, d):
     return pair(spark, d).select("i", "j", r6("corr").alias("corr"))
 
 
-@query("pair_corr_complete", f"WITH {PANEL}, {PAIR} SELECT i, j, CASE WHEN n >= 20 THEN ROUND(corr, 6) + 0.0 ELSE 0.0 END AS corr FROM pair")
+@query("pair_corr_complete", f"WITH {PANEL}, gaps AS (SELECT node, date, speed FROM panel WHERE (node + day(date)) % 5 <> 0), {PAIR.replace('panel a', 'gaps a').replace('panel b', 'gaps b')} SELECT i, j, CASE WHEN n >= 3 THEN ROUND(corr, 6) + 0.0 ELSE 0.0 END AS corr FROM pair")
 def pair_corr_complete(spark, d):
-    return pair(spark, d).select("i", "j", F.when(F.col("n") >= 20, r6("corr")).otherwise(0.0).alias("corr"))
+    """Over a panel with gaps: the times that both have, and nothing for less than three of them."""
+    gaps = panel(spark, d).withColumn("speed", F.when((F.col("node") + F.dayofmonth("date")) % 5 != 0, F.col("speed")))
+    return series.block_corr(gaps, "node", "date", "speed").select("i", "j", F.when(F.col("n") >= 3, r6("corr")).otherwise(0.0).alias("corr"))
 
 
 @query("pair_threshold", f"WITH {PANEL}, {PAIR} SELECT i, j, ROUND(corr, 6) + 0.0 AS corr FROM pair WHERE ABS(corr) >= 0.3 ORDER BY ABS(corr) DESC, i, j LIMIT 500")
@@ -72,32 +75,38 @@ def mirror(spark, d):
     return p.unionAll(p.select(F.col("j").alias("i"), F.col("i").alias("j"), "corr"))
 
 
+def partners(spark, d, k, absolute=False):
+    """Pairs in both directions, as far as they may be among a node's first k."""
+    return series.block_top(panel(spark, d), "node", "date", "speed", k, absolute)
+
+
 @query("topk_neighbors", f"WITH {PANEL}, {PAIR}, {MIRROR} SELECT i, j, ROUND(corr, 6) + 0.0 AS corr, ROW_NUMBER() OVER (PARTITION BY i ORDER BY corr DESC, j) AS rnk FROM mirror WHERE corr > 0 QUALIFY rnk <= 5")
 def topk_neighbors(spark, d):
-    return series.ranked(mirror(spark, d).where("corr > 0"), ["i"], [F.desc("corr"), "j"], 5).withColumn("corr", r6("corr"))
+    return series.ranked(partners(spark, d, 5).where("corr > 0"), ["i"], [F.desc("corr"), "j"], 5).withColumn("corr", r6("corr"))
 
 
 @query("topk_mean", f"WITH {PANEL}, {PAIR}, {MIRROR}, t AS (SELECT i, ABS(corr) AS c, ROW_NUMBER() OVER (PARTITION BY i ORDER BY ABS(corr) DESC, j) AS rnk FROM mirror) SELECT i, ROUND(AVG(c), 6) AS score FROM t WHERE rnk <= 8 GROUP BY 1")
 def topk_mean(spark, d):
-    return series.ranked(mirror(spark, d), ["i"], [F.abs("corr").desc(), "j"], 8).groupBy("i").agg(r6(F.avg(F.abs("corr"))).alias("score"))
+    return series.ranked(partners(spark, d, 8, True), ["i"], [F.abs("corr").desc(), "j"], 8).groupBy("i").agg(r6(F.avg(F.abs("corr"))).alias("score"))
 
 
 @query("corr_adjacency", f"WITH {PANEL}, {PAIR}, {MIRROR}, t AS (SELECT i, j, corr FROM mirror WHERE corr > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY i ORDER BY corr DESC, j) <= 3) SELECT i, j, ROUND(MAX(corr), 6) AS w FROM (SELECT * FROM t UNION ALL SELECT j, i, corr FROM t) GROUP BY 1, 2")
 def corr_adjacency(spark, d):
-    t = series.ranked(mirror(spark, d).where("corr > 0"), ["i"], [F.desc("corr"), "j"], 3).select("i", "j", "corr")
+    t = series.ranked(partners(spark, d, 3).where("corr > 0"), ["i"], [F.desc("corr"), "j"], 3).select("i", "j", "corr")
     return t.unionAll(t.select(F.col("j").alias("i"), F.col("i").alias("j"), "corr")).groupBy("i", "j").agg(r6(F.max("corr")).alias("w"))
 
 
 @query("corr_graph", f"WITH {PANEL}, {PAIR}, {MIRROR}, t AS (SELECT i, j, corr FROM mirror QUALIFY ROW_NUMBER() OVER (PARTITION BY i ORDER BY corr DESC, j) <= 3) SELECT DISTINCT LEAST(i, j) AS u, GREATEST(i, j) AS v FROM t WHERE corr >= 0.5")
 def corr_graph(spark, d):
-    t = series.ranked(mirror(spark, d), ["i"], [F.desc("corr"), "j"], 3).where("corr >= 0.5")
+    t = series.ranked(partners(spark, d, 3), ["i"], [F.desc("corr"), "j"], 3).where("corr >= 0.5")
     return t.select(F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v")).distinct()
 
 
 @query("corr_distribution", f"WITH {PANEL}, {PAIR} SELECT COUNT(*) AS n, ROUND(AVG(corr), 6) AS mean, ROUND(STDDEV_POP(corr), 6) AS std, ROUND(AVG(ABS(corr)), 6) AS mean_abs, ROUND(quantile_cont(corr, 0.05), 6) AS q05, ROUND(quantile_cont(corr, 0.5), 6) AS q50, ROUND(quantile_cont(corr, 0.95), 6) AS q95, ROUND(AVG(CAST(ABS(corr) > 0.5 AS DOUBLE)), 6) AS over_half FROM pair")
 def corr_distribution(spark, d):
-    q = lambda p: r6(F.percentile("corr", F.lit(p)))
-    return pair(spark, d).agg(F.count("*").alias("n"), r6(F.avg("corr")).alias("mean"), r6(F.stddev_pop("corr")).alias("std"), r6(F.avg(F.abs("corr"))).alias("mean_abs"), q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"), r6(F.avg((F.abs("corr") > 0.5).cast("double"))).alias("over_half"))
+    p = graphs.kept(pair(spark, d).select("corr"))
+    q = [F.round(F.lit(x).cast("double"), 6) + F.lit(0.0) for x in quantiles(p, "corr", [0.05, 0.5, 0.95])[None]]
+    return p.agg(F.count("*").alias("n"), r6(F.avg("corr")).alias("mean"), r6(F.stddev_pop("corr")).alias("std"), r6(F.avg(F.abs("corr"))).alias("mean_abs"), q[0].alias("q05"), q[1].alias("q50"), q[2].alias("q95"), r6(F.avg((F.abs("corr") > 0.5).cast("double"))).alias("over_half"))
 
 
 @query("corr_summary", f"WITH {PANEL}, {PAIR} SELECT ROUND(AVG(corr), 6) AS mean, ROUND(STDDEV_POP(corr), 6) AS std, ROUND(MAX(corr), 6) AS max, ROUND(MIN(corr), 6) AS min, COUNT(*) FILTER (ABS(corr) > 0.4) AS strong FROM pair")
@@ -399,10 +408,11 @@ def pad_mask(spark, d):
     return g.select("c_nationkey", F.size("padded").cast("bigint").alias("width"), F.size(F.filter("padded", lambda x: x >= 0)).cast("bigint").alias("used"))
 
 
-@query("neighbor_compare", f"WITH {PANEL}, {PAIR}, t AS (SELECT i, j, corr, (i * 7 + 3) % 60 = j OR (j * 7 + 3) % 60 = i AS near FROM pair) SELECT near, COUNT(*) AS n, ROUND(AVG(corr), 6) + 0.0 AS mean, ROUND(AVG(ABS(corr)), 6) AS mean_abs FROM t GROUP BY 1")
+@query("neighbor_compare", f"WITH {PANEL}, {PAIR}, t AS (SELECT i, j, corr, (i * 7 + 3) % s = j OR (j * 7 + 3) % s = i AS near FROM pair, (SELECT COUNT(*) AS s FROM supplier)) SELECT near, COUNT(*) AS n, ROUND(AVG(corr), 6) + 0.0 AS mean, ROUND(AVG(ABS(corr)), 6) AS mean_abs FROM t GROUP BY 1")
 def neighbor_compare(spark, d):
-    near = ((F.col("i") * 7 + 3) % 60 == F.col("j")) | ((F.col("j") * 7 + 3) % 60 == F.col("i"))
-    return pair(spark, d).groupBy(near.alias("near")).agg(F.count("*").alias("n"), r6(F.avg("corr")).alias("mean"), r6(F.avg(F.abs("corr"))).alias("mean_abs"))
+    s = table(spark, d, "supplier").agg(F.count("*").alias("s"))
+    near = ((F.col("i") * 7 + 3) % F.col("s") == F.col("j")) | ((F.col("j") * 7 + 3) % F.col("s") == F.col("i"))
+    return pair(spark, d).crossJoin(F.broadcast(s)).groupBy(near.alias("near")).agg(F.count("*").alias("n"), r6(F.avg("corr")).alias("mean"), r6(F.avg(F.abs("corr"))).alias("mean_abs"))
 
 
 BINS = "binned AS (SELECT i, j, corr, CASE WHEN ABS(i - j) <= 1 THEN '1-hop' WHEN ABS(i - j) <= 3 THEN '2-hop' ELSE 'far' END AS hop, ABS(i - j) // 10 AS bin FROM pair)"
@@ -415,7 +425,9 @@ def binned(spark, d):
 
 @query("hop_corr", f"WITH {PANEL}, {PAIR}, {BINS} SELECT hop, COUNT(*) AS n, ROUND(AVG(ABS(corr)), 6) AS mean_abs, ROUND(quantile_cont(ABS(corr), 0.95), 6) AS q95 FROM binned GROUP BY 1")
 def hop_corr(spark, d):
-    return binned(spark, d).groupBy("hop").agg(F.count("*").alias("n"), r6(F.avg(F.abs("corr"))).alias("mean_abs"), r6(F.percentile(F.abs("corr"), F.lit(0.95))).alias("q95"))
+    b = graphs.kept(binned(spark, d).select("hop", F.abs("corr").alias("size")))
+    q95 = spark.createDataFrame([(h, x[0]) for h, x in quantiles(b, "size", [0.95], "hop").items()], "hop string, q95 double")  # a row for each of three hops
+    return b.groupBy("hop").agg(F.count("*").alias("n"), r6(F.avg("size")).alias("mean_abs")).join(F.broadcast(q95), "hop").withColumn("q95", r6("q95"))
 
 
 @query("geo_bin_corr", f"WITH {PANEL}, {PAIR}, {BINS} SELECT bin, COUNT(*) AS n, ROUND(AVG(corr), 6) + 0.0 AS mean, ROUND(sqrt(GREATEST(AVG(corr * corr) - AVG(corr) * AVG(corr), 0)), 6) AS std FROM binned GROUP BY 1")
