@@ -157,8 +157,23 @@ def test_communities_of_two_cliques_and_a_pair(spark):
     m = 22
     want = sum(own / m - (k / (2 * m)) ** 2 for own, k in ((10, 21), (10, 21), (1, 2)))
     assert graphs.modularity(df, got).first()[0] == pytest.approx(want)
-    with pytest.raises(ValueError):
-        graphs.communities(df, 5)
+    assert {r["node"]: r["community"] for r in graphs.communities(df, 5).collect()} == label
+
+
+@pytest.mark.parametrize("kind", ["planted", "hub"])
+def test_rounds_of_joins_find_communities_as_good_as_one_task(spark, kind):
+    """Four planted groups; a hub of forty leaves, some of them linked, which takes many of them in a round."""
+    r = np.random.default_rng(3)
+    if kind == "planted":
+        e = [(a, b) for a in range(48) for b in range(a) if r.random() < (0.5 if a // 12 == b // 12 else 0.03)]
+    else:
+        e = [(0, i) for i in range(1, 41)] + [(i, i + 1) for i in range(1, 40, 5)] + [(100, 101), (101, 102), (100, 102), (100, 40)]
+    df = spark.createDataFrame(e, "u bigint, v bigint")
+    one, rounds = graphs.communities(df), graphs.communities(df, 0)
+    score = [graphs.modularity(df, x).first()[0] for x in (one, rounds)]
+    assert score[1] >= score[0] - 0.02 and score[1] > 0.1
+    named = rounds.groupBy("community").agg(F.min("node").alias("least"), F.count("*").alias("n")).collect()
+    assert all(x.community == x.least for x in named) and sum(x.n for x in named) == len({x for p in e for x in p})
 
 
 def test_zones_keep_the_base_and_rank_the_rest(spark):

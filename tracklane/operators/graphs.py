@@ -153,24 +153,111 @@ def _merged(u: list, v: list, total: int) -> dict:
 
 
 def communities(edges: DataFrame, most_edges: int = 2_000_000) -> DataFrame:
-    """(node, community) by greedy modularity, undirected and unweighted. Joins never cross connected components and a
-    join's gain depends on the rest by the number of edges alone, so each component is one task's work; one of over
-    most_edges edges is an error."""
+    """(node, community) by greedy modularity, undirected and unweighted; a community is named by its smallest node.
+    Joins never cross connected components and a join's gain depends on the rest by the number of edges alone, so each
+    component of at most most_edges edges is one task's work; larger ones are joined in rounds by all tasks."""
     import pandas as pd
 
     e = kept(undirected(edges).where("u < v"))
     total, label = e.count(), connected(e)
-    parts = e.join(label, e.u == label.node).select("component", "u", "v")
-    largest = parts.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-    if largest > most_edges:
-        raise ValueError(f"a component of {largest} edges; at most {most_edges} go to one task")
+    parts = kept(e.join(label, e.u == label.node).select("component", "u", "v"))
+    large = kept(parts.groupBy("component").count().where(F.col("count") > most_edges).select("component"))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         out = _merged(g["u"].to_list(), g["v"].to_list(), total)
         return pd.DataFrame({"node": list(out), "community": list(out.values())})
 
     kind = edges.schema["u"].dataType.simpleString()
-    return parts.groupBy("component").applyInPandas(run, f"node {kind}, community {kind}")
+    one = parts.join(large, "component", "left_anti").groupBy("component").applyInPandas(run, f"node {kind}, community {kind}")
+    if large.isEmpty():
+        return one
+    return one.unionByName(joined_in_rounds(parts.join(large, "component", "left_semi").select("u", "v"), total))
+
+
+def joined_in_rounds(links: DataFrame, total: int) -> DataFrame:
+    """(node, community) of links (u, v), u < v, of a graph of total ones, by rounds of joins that raise modularity.
+
+    Groups are nodes of a weighted graph. In each round every group names the neighbour whose union with it gains most
+    (ties: the smallest). Pairs that name each other are joined. So are groups that name one that names another, or is
+    in such a pair, if the union gains even beside all others that ask for it (which a hub of many leaves needs), and
+    those that ask go to a group that asks for nothing itself in this round: a hash of group and round deals who asks.
+    Rounds end when no union gains; refined() then moves single nodes. Edges, groups and labels are tables;
+    nothing meets in one task.
+    """
+    spark, m = links.sparkSession, float(total)
+    w = kept(links.select(F.col("u").alias("a"), F.col("v").alias("b"), F.lit(1.0).alias("w")), now := [])
+    ends = w.select(F.explode(F.array("a", "b")).alias("g"))
+    size = kept(ends.groupBy("g").agg(F.count("*").cast("double").alias("d")), now)
+    label = kept(size.select(F.col("g").alias("node"), F.col("g").alias("community")), now)
+    k = 0
+    while True:
+        d = lambda x: size.select(F.col("g").alias(x), F.col("d").alias(f"d{x}"))  # noqa: B023, E731
+        both = w.unionAll(w.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).join(d("a"), "a").join(d("b"), "b")
+        both = both.withColumn("gain", F.col("w") / m - F.col("da") * F.col("db") / (2 * m * m)).where("gain > 0")
+        # the least of (-gain, b) is the best gain and its smallest name
+        best = both.groupBy("a").agg(F.min(F.struct((-F.col("gain")).alias("less"), "b", "w", "da", "db")).alias("x")).select("a", "x.*")
+        best, old = kept(best, step := []), now
+        if best.isEmpty():
+            dropped(spark, step)
+            break
+        back = best.select(F.col("a").alias("b"), F.col("b").alias("of"))
+        named = best.join(back, "b", "left").withColumn("mutual", F.col("of").eqNullSafe(F.col("a")))
+        mutual = named.where("mutual AND a > b").select("a", "b")
+        asks = lambda x: F.pmod(F.xxhash64(F.col(x), F.lit(k)), F.lit(2)) == 0  # noqa: B023, E731
+        ask = named.where(~F.col("mutual")).where(asks("a") & ~asks("b")).select("a", "b", "w", "da", "db")
+        taken = mutual.select(F.explode(F.array("a", "b")).alias("a"))
+        ask = ask.join(taken, "a", "left_anti").join(taken.select(F.col("a").alias("b")), "b", "left_anti")
+        crowd = ask.groupBy("b").agg(F.sum("da").alias("crowd"))
+        ask = ask.join(crowd, "b").where(F.col("w") / m > F.col("da") * (F.col("db") + F.col("crowd") - F.col("da")) / (2 * m * m)).select("a", "b")
+        move = kept(mutual.unionByName(ask), step)
+        to = lambda x, new: F.coalesce(F.col(new), F.col(x))
+        moved = lambda x, new: move.select(F.col("a").alias(x), F.col("b").alias(new))  # noqa: B023, E731
+        now = []
+        w2 = w.join(moved("a", "a2"), "a", "left").join(moved("b", "b2"), "b", "left").select(to("a", "a2").alias("p"), to("b", "b2").alias("q"), "w").where("p <> q")
+        w2 = kept(w2.groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("w").alias("w")), now)
+        size2 = kept(size.join(moved("g", "g2"), "g", "left").groupBy(to("g", "g2").alias("g")).agg(F.sum("d").alias("d")), now)
+        label2 = kept(label.join(moved("community", "c2"), "community", "left").select("node", to("community", "c2").alias("community")), now)
+        dropped(spark, old + step)
+        w, size, label, k = w2, size2, label2, k + 1
+    label = refined(links, label, m)
+    least = label.groupBy("community").agg(F.min("node").alias("name"))
+    out = kept(label.join(least, "community").select("node", F.col("name").alias("community")))
+    dropped(spark, now)
+    return out
+
+
+def refined(links: DataFrame, label: DataFrame, m: float, most_rounds: int = 24) -> DataFrame:
+    """label (node, community) after moves of nodes to the neighbouring community that raises modularity most. In each
+    round a hash deals a quarter of the nodes that would gain; a round that lowers modularity is taken back and ends it."""
+    both = kept(links.select("u", "v").unionAll(links.select(F.col("v").alias("u"), F.col("u").alias("v"))), old := [])
+    degree = kept(both.groupBy("u").agg(F.count("*").cast("double").alias("d")), old)
+    gain = lambda k, own, d, to, of: (k - own) / m - d * (to - of + d) / (2 * m * m)
+
+    def state(label: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        of_v = label.select(F.col("node").alias("v"), F.col("community").alias("c"))
+        near = kept(both.join(of_v, "v").groupBy("u", "c").agg(F.count("*").cast("double").alias("k")).join(label.select(F.col("node").alias("u"), F.col("community").alias("own")), "u").join(degree, "u"), old)
+        size = kept(label.join(degree, label.node == degree.u).groupBy("community").agg(F.sum("d").alias("size")), old)
+        inside = near.where("c = own").agg(F.sum("k")).first()[0] or 0.0
+        return near, size, inside / (2 * m) - (size.agg(F.sum(F.col("size") * F.col("size"))).first()[0] or 0.0) / (4 * m * m)
+
+    near, size, score = state(label)
+    for r in range(most_rounds):
+        own = near.where("c = own").select("u", F.col("k").alias("k_own"))
+        of = lambda c, n: size.select(F.col("community").alias(c), F.col("size").alias(n))  # noqa: B023, E731
+        x = near.where("c <> own").join(own, "u", "left").join(of("c", "to"), "c").join(of("own", "of"), "own")
+        x = x.withColumn("gain", gain(F.col("k"), F.coalesce("k_own", F.lit(0.0)), F.col("d"), F.col("to"), F.col("of"))).where("gain > 1e-12")
+        best = kept(x.groupBy("u").agg(F.min(F.struct((-F.col("gain")).alias("less"), "c")).alias("x")).select("u", F.col("x.c").alias("new")), old)
+        if best.isEmpty():
+            break
+        move = best.where(F.pmod(F.xxhash64("u", F.lit(r)), F.lit(4)) == 0)
+        moved = kept(label.join(move, label.node == move.u, "left").select("node", F.coalesce("new", "community").alias("community")), old)
+        near, size, now = state(moved)
+        if now < score - 1e-12:
+            break
+        label, score = moved, now
+    out = kept(label)
+    dropped(links.sparkSession, old)
+    return out
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
