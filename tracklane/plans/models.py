@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import forecast, graphs, matrices, series
+from ..operators import forecast, graphs, matrices, series, spectral
 from ..sources import stores
 from .prepare import DIST
 from .relations import ROLL, pair, roll
@@ -189,32 +189,13 @@ def communities(spark, d):
 @query("regions", None)
 def regions(spark, d):
     """Five spectral clusters of all nodes by their correlations."""
-    p = pair(spark, d).select(F.lit("all").alias("session"), F.lit(0).cast("bigint").alias("t"), "i", "j", F.col("corr").alias("value"))
-    nodes = matrices.node_list(p)
-    n = len(nodes)
-
-    def run(batches):
-        for b in batches:
-            for m in b["m"]:
-                yield pd.DataFrame({"node": nodes, "region": matrices.regions(np.asarray(m).reshape(n, n), 5)})
-
-    return matrices.snapshots(p, nodes).mapInPandas(run, "node bigint, region bigint")
+    return spectral.clusters(pair(spark, d), 5)
 
 
 @query("laplacian_vectors", None)
 def laplacian_vectors(spark, d):
     """Three eigenvectors of the graph of all road nodes."""
-    e = graphs.undirected(edges(spark, d))
-    p = e.select(F.lit("all").alias("session"), F.lit(0).cast("bigint").alias("t"), F.col("u").alias("i"), F.col("v").alias("j"), F.lit(1.0).alias("value"))
-    nodes = matrices.node_list(p)
-    n = len(nodes)
-
-    def run(batches):
-        for b in batches:
-            for m in b["m"]:
-                yield pd.DataFrame({"node": nodes, "place": list(matrices.laplacian_vectors(np.asarray(m).reshape(n, n), 3))})
-
-    return matrices.snapshots(p, nodes, mirrored=False, diagonal=0.0).mapInPandas(run, "node bigint, place array<double>")
+    return spectral.laplacian_vectors(edges(spark, d), 3)
 
 
 LINKS = "links AS (SELECT p_partkey % (SELECT COUNT(*) FROM supplier) AS i, p_size % (SELECT COUNT(*) FROM supplier) AS j, MAX(p_retailprice) AS weight, CAST(MIN(p_size) % 7 AS BIGINT) AS tau FROM part GROUP BY 1, 2)"
