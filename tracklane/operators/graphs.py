@@ -47,20 +47,29 @@ def connected(edges: DataFrame) -> DataFrame:
     return nodes.join(roots, nodes.node == roots["__n"], "left").select("node", F.coalesce("root", "node").alias("component"))
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(source, target, length, hops) of the shortest directed path of each pair, by relaxation of the sources'
-    distances until none falls any more; pairs out of reach are left out. Lengths must not be negative."""
-    dist = front = pairs.select(F.col("source"), F.col("source").alias("node")).distinct().select("source", "node", F.lit(0.0).alias("length"), F.lit(0).alias("hops"))
+def distances(edges: DataFrame, sources: DataFrame) -> DataFrame:
+    """(source, node, length, hops) of the shortest directed path from each of sources (source) to every node it
+    reaches, by relaxation until no distance falls any more. Lengths must not be negative."""
+    spark = edges.sparkSession
+    dist = front = sources.select("source", F.col("source").alias("node")).distinct().select("source", "node", F.lit(0.0).alias("length"), F.lit(0).alias("hops"))
     steps = edges.select(F.col("u").alias("__u"), F.col("v").alias("__v"), F.col("length_m").alias("__m"))
+    now: list[str] = []
     while True:
         step = front.join(steps, F.col("node") == F.col("__u")).select("source", F.col("__v").alias("node"), (F.col("length") + F.col("__m")).alias("length"), (F.col("hops") + 1).alias("hops"))
         step = step.groupBy("source", "node").agg(F.min(F.struct("length", "hops")).alias("x")).select("source", "node", "x.*")
-        old = dist.select("source", "node", F.col("length").alias("known"))
-        front = kept(step.join(old, ["source", "node"], "left").where("known is null or length < known").drop("known"))
-        if not front.limit(1).count():
-            break
-        dist = kept(dist.unionByName(front).groupBy("source", "node").agg(F.min(F.struct("length", "hops")).alias("x")).select("source", "node", "x.*"))
-    return pairs.join(dist.withColumnRenamed("node", "target"), ["source", "target"])
+        was = dist.select("source", "node", F.struct("length", "hops").alias("was"))
+        before, now = now, []
+        front = kept(step.join(was, ["source", "node"], "left").where(F.col("was").isNull() | (F.struct("length", "hops") < F.col("was"))).drop("was"), now)
+        if front.isEmpty():
+            dropped(spark, now)
+            return dist
+        dist = kept(dist.unionByName(front).groupBy("source", "node").agg(F.min(F.struct("length", "hops")).alias("x")).select("source", "node", "x.*"), now)
+        dropped(spark, before)
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(source, target, length, hops) of the shortest directed path of each pair; pairs out of reach are left out."""
+    return pairs.join(distances(edges, pairs).withColumnRenamed("node", "target"), ["source", "target"])
 
 
 def betweenness(edges: DataFrame, sources: DataFrame, most_rows: int = 200_000_000) -> DataFrame:

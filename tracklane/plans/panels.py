@@ -447,12 +447,15 @@ def temporal_edges(spark, d):
 
 
 @query("hop_bins", f"""WITH RECURSIVE {EDGES}, h(s, node, hop) AS (SELECT u, u, 0 FROM edges WHERE u % 100 = 0 UNION ALL SELECT s, e.v, hop + 1 FROM h JOIN edges e ON e.u = h.node WHERE hop < 3), b AS (SELECT s, node, MIN(hop) AS hop FROM h GROUP BY 1, 2)
-SELECT s.u AS source, t.u AS node, COALESCE(hop || '-hop', '>3/unreachable') AS bin FROM edges s CROSS JOIN edges t LEFT JOIN b ON b.s = s.u AND b.node = t.u WHERE s.u % 100 = 0""")
+SELECT s AS source, node, hop || '-hop' AS bin, 1::BIGINT AS n FROM b UNION ALL SELECT s, NULL, '>3/unreachable', (SELECT COUNT(*) FROM edges) - COUNT(*) FROM b GROUP BY 1""")
 def hop_bins(spark, d):
+    """The nodes that a search finds, one by one, and how many it doesn't."""
     e = edges(spark, d)
     s = e.where("u % 100 = 0").select(F.col("u").alias("node"))  # the searches; all nodes are searched
-    h = graphs.hops(e, s, 3)
-    return s.select(F.col("node").alias("source")).crossJoin(e.select(F.col("u").alias("node"))).join(h, ["source", "node"], "left").select("source", "node", F.coalesce(F.concat(F.col("hop").cast("string"), F.lit("-hop")), F.lit(">3/unreachable")).alias("bin"))
+    h = graphs.kept(graphs.hops(e, s, 3))
+    rest = h.groupBy("source").agg(F.count("*").alias("found")).crossJoin(F.broadcast(e.agg(F.count("*").alias("every"))))
+    found = h.select("source", "node", F.concat(F.col("hop").cast("string"), F.lit("-hop")).alias("bin"), F.lit(1).cast("bigint").alias("n"))
+    return found.unionByName(rest.select("source", F.lit(None).cast("bigint").alias("node"), F.lit(">3/unreachable").alias("bin"), (F.col("every") - F.col("found")).alias("n")))
 
 
 @query("components", f"""WITH RECURSIVE {EDGES}, e AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges), r(node, other) AS (SELECT u, u FROM e UNION SELECT r.node, e.v FROM r JOIN e ON e.u = r.other) SELECT node, MIN(other) AS component FROM r GROUP BY 1""")
@@ -480,11 +483,15 @@ def laplacian(spark, d):
     return a.withColumn("l", F.lit(-1.0)).unionByName(a.groupBy("u").agg(F.count("*").cast("double").alias("l")).withColumn("v", F.col("u")))
 
 
-@query("shortest_paths", None)
+@query("shortest_paths", f"""WITH RECURSIVE {EDGES}, d(source, node, length, hops) USING KEY (source, node) AS (SELECT u, u, 0.0::DOUBLE, 0 FROM edges WHERE u % 100 = 0 UNION
+  SELECT x.source, x.node, x.best.l, x.best.h FROM (SELECT d.source, e.v AS node, min({{'l': d.length + e.length_m, 'h': d.hops + 1}}) AS best FROM d JOIN edges e ON e.u = d.node GROUP BY 1, 2) x
+  LEFT JOIN recurring.d k ON k.source = x.source AND k.node = x.node WHERE k.length IS NULL OR x.best.l < k.length OR (x.best.l = k.length AND x.best.h < k.hops))
+SELECT source, node AS target, length, hops FROM d WHERE node IN (SELECT v FROM edges)""")
 def shortest_paths(spark, d):
     e = edges(spark, d)
     sources = e.where("u % 100 = 0").select(F.col("u").alias("source"))  # the searches; all nodes are searched
-    return graphs.shortest_paths(e, sources.crossJoin(e.select(F.col("v").alias("target")).distinct()))
+    found = graphs.distances(e, sources).withColumnRenamed("node", "target")
+    return found.join(e.select(F.col("v").alias("target")), "target", "left_semi").select("source", "target", "length", "hops")
 
 
 @query("betweenness", None)
