@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures as M
 from ..functions import time as T
-from ..operators import clean, series
+from ..operators import clean, series, strategies
 from ..shared import shared_dir
 from ..sources import arrays, jobs
 from .views import EDGES, OBS, PANEL, TYPES, edges, obs, panel, query, r6, table, types
@@ -270,26 +270,24 @@ def onehot(spark, d):
     return table(spark, d, "orders").select("o_orderkey", *[(F.col("o_orderstatus") == x).cast("double").alias(f"is_{x.lower()}") for x in ("O", "P")])
 
 
-def _scaled(df, params, expression):
-    return df.crossJoin(F.broadcast(params)).select("event_id", r6(expression).alias("x"))
+def _scaled(spark, d, name):
+    o = obs(spark, d)
+    return o.select("event_id", r6(strategies.Scaler.fitted(name, o, "speed").scaled("speed")).alias("x"))
 
 
 @query("scale_standard", f"WITH {OBS} SELECT event_id, ROUND((speed - (SELECT AVG(speed) FROM obs)) / (SELECT STDDEV_POP(speed) FROM obs), 6) + 0.0 AS x FROM obs")
 def scale_standard(spark, d):
-    o = obs(spark, d)
-    return _scaled(o, o.agg(F.avg("speed").alias("m"), F.stddev_pop("speed").alias("s")), F.try_divide(F.col("speed") - F.col("m"), F.col("s")))
+    return _scaled(spark, d, "standard")
 
 
 @query("scale_minmax", f"WITH {OBS} SELECT event_id, ROUND((speed - (SELECT MIN(speed) FROM obs)) / ((SELECT MAX(speed) FROM obs) - (SELECT MIN(speed) FROM obs)), 6) + 0.0 AS x FROM obs")
 def scale_minmax(spark, d):
-    o = obs(spark, d)
-    return _scaled(o, o.agg(F.min("speed").alias("a"), F.max("speed").alias("b")), F.try_divide(F.col("speed") - F.col("a"), F.col("b") - F.col("a")))
+    return _scaled(spark, d, "minmax")
 
 
 @query("scale_robust", f"WITH {OBS} SELECT event_id, ROUND((speed - (SELECT median(speed) FROM obs)) / ((SELECT quantile_cont(speed, 0.75) FROM obs) - (SELECT quantile_cont(speed, 0.25) FROM obs)), 6) + 0.0 AS x FROM obs")
 def scale_robust(spark, d):
-    o = obs(spark, d)
-    return _scaled(o, o.agg(F.median("speed").alias("m"), (F.percentile("speed", F.lit(0.75)) - F.percentile("speed", F.lit(0.25))).alias("q")), F.try_divide(F.col("speed") - F.col("m"), F.col("q")))
+    return _scaled(spark, d, "robust")
 
 
 POS = "pos AS (SELECT node, date, v, ROW_NUMBER() OVER (PARTITION BY node ORDER BY date) - 1 AS pos, COUNT(*) OVER (PARTITION BY node) AS n FROM types), split AS (SELECT *, CASE WHEN pos < floor(n * 0.70::DOUBLE) THEN 'train' WHEN pos < floor(n * 0.70::DOUBLE) + floor(n * 0.15::DOUBLE) THEN 'val' ELSE 'test' END AS split FROM pos)"
