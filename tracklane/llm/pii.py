@@ -207,7 +207,7 @@ def extracted(docs: DataFrame, text: str = "text", key: str = "doc_id") -> tuple
     survey = written(_surveyed(docs, text, key))
     covered = lambda w: F.exists("base", lambda s: (s["start"] < w["end"]) & (s["end"] > w["start"]))
     seen = survey.where(F.size("words") > 0).select("key", "h", F.explode(F.transform("words", lambda w: w.withField("known", covered(w)))).alias("w")).select("key", "h", "w.*")
-    secret = F.col("left").rlike(SECRET) & (F.length("word") >= SECRET_LENGTH) & F.col("word").rlike("[0-9]")
+    secret = F.col("left").rlike(SECRET) & (F.length("word") >= SECRET_LENGTH)
     seen = written(seen.withColumn("seed", F.col("known") | secret))
     found = bootstrap(seen)
     hits = seen.where(~F.col("known")).join(found, "word")
