@@ -8,7 +8,7 @@ matrix is ever in one place.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,17 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..shared import dropped, written
-from . import graphs, matrices
+from . import graphs, matrices, tiles
 
 #: Vectors beyond those that are asked for, which speed the others up.
 GUARD = 4
 PARTS = ("x", "w", "p")
 
 
-def _product(t: DataFrame, links: DataFrame, column: str, n: int) -> DataFrame:
+def _product(t: DataFrame, links: DataFrame | Callable[[DataFrame, int], DataFrame], column: str, n: int) -> DataFrame:
     """(node, y): the matrix times the block column of t; the matrix is t's diagonal d less links (u, v, weight)."""
-    far = links.join(t.select(F.col("node").alias("v"), F.col(column).alias("__y")), "v")
-    sums = far.groupBy("u").agg(*[F.sum(F.col("weight") * F.col("__y")[i]).alias(f"s{i}") for i in range(n)])
+    if isinstance(links, DataFrame):
+        far = links.join(t.select(F.col("node").alias("v"), F.col(column).alias("__y")), "v")
+        sums = far.groupBy("u").agg(*[F.sum(F.col("weight") * F.col("__y")[i]).alias(f"s{i}") for i in range(n)])
+    else:
+        sums = links(t.select("node", F.col(column).alias("x")), n).select("u", *[F.col("s")[i].alias(f"s{i}") for i in range(n)])
     y = F.array(*[F.col("d") * F.col(column)[i] - F.coalesce(f"s{i}", F.lit(0.0)) for i in range(n)])
     return t.join(sums, F.col("node") == F.col("u"), "left").select("node", y.alias("y"))
 
@@ -67,16 +70,18 @@ def _lowest(g: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return v[:n], (q @ c[:, :n]) / size[:, None]
 
 
-def lowest(diagonal: DataFrame, links: DataFrame, k: int, tolerance: float = 1e-6, most_rounds: int = 200, keep: list[str] | None = None) -> tuple[DataFrame, np.ndarray]:
+def lowest(diagonal: DataFrame, links: DataFrame | Callable[[DataFrame, int], DataFrame], k: int, tolerance: float = 1e-6, most_rounds: int = 200, keep: list[str] | None = None) -> tuple[DataFrame, np.ndarray]:
     """(node, vector), vector the k cells that a node has in the eigenvectors of the lowest values, and these values.
 
-    The matrix is diagonal (node, d) less links (u, v, weight), which hold both directions. Rounds go on until every
+    The matrix is diagonal (node, d) less links (u, v, weight), which hold both directions, or less what links(t, n)
+    makes of the n cells x of each row of t (node, x): (u, s), s the links times x. Rounds go on until every
     residual is below tolerance times the largest of 1 and the values; not getting there is an ArithmeticError. There
     must be several times as many nodes as vectors.
     """
     spark, keep, n = diagonal.sparkSession, [] if keep is None else keep, k + GUARD
     old: list[str] = []
-    links = written(links.select("u", "v", "weight"), old)
+    if isinstance(links, DataFrame):
+        links = written(links.select("u", "v", "weight"), old)
     start = F.array(*[F.xxhash64("node", F.lit(i)).bitwiseAND((1 << 52) - 1) / float(1 << 52) - 0.5 for i in range(n)])
     zero = F.array(*[F.lit(0.0)] * n)
     t = written(diagonal.select("node", F.col("d").cast("double").alias("d"), start.alias("x"), zero.alias("w"), zero.alias("lw"), zero.alias("p"), zero.alias("lp"), F.lit(1.0).alias("scale")), now := [])
@@ -120,6 +125,9 @@ def laplacian_vectors(edges: DataFrame, k: int, most: int = matrices.MOST_NODES)
     e = graphs.undirected(edges)
     nodes = e.select(F.col("u").alias("node")).distinct()
     if nodes.count() > most:
+        parts = _parts(e, k)
+        if parts is not None:
+            return parts
         degree = e.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("d"))
         v, _ = lowest(degree, e.withColumn("weight", F.lit(1.0)), k)
         first = v.agg(*[F.min_by(F.col("vector")[i], F.when(F.abs(F.col("vector")[i]) > 1e-9, F.col("node"))).alias(f"f{i}") for i in range(k)]).first()
@@ -137,6 +145,17 @@ def laplacian_vectors(edges: DataFrame, k: int, most: int = matrices.MOST_NODES)
     return matrices.snapshots(p, names, mirrored=False, diagonal=0.0).mapInPandas(run, f"node {kind}, place array<double>")
 
 
+def _parts(e: DataFrame, k: int) -> DataFrame | None:
+    """laplacian_vectors() of a graph of k connected components or more, whose k smallest eigenvalues are all zero: the
+    vectors that are even on one component and zero elsewhere, for the k with the smallest nodes. None if it has fewer
+    components. No iteration can tell these values apart or needs to."""
+    label = written(graphs.connected(e))
+    size = label.groupBy("component").agg(F.count("*").alias("n")).orderBy("component").limit(k).collect()
+    if len(size) < k:
+        return None
+    return label.select("node", F.array(*[F.when(F.col("component") == r["component"], F.lit(1.0 / float(np.sqrt(r["n"])))).otherwise(0.0) for r in size]).alias("place"))
+
+
 def regions(pairs: DataFrame, k: int, most_rounds: int = 50) -> DataFrame:
     """(node, region): spectral clusters of pairs (i, j, corr), i < j, by absolute values as affinities, as
     matrices.regions() finds them in a dense matrix: rows of the k leading eigenvectors of the normalised affinity,
@@ -146,7 +165,12 @@ def regions(pairs: DataFrame, k: int, most_rounds: int = 50) -> DataFrame:
     size = both.groupBy(F.col("u").alias("node")).agg(F.sqrt(F.greatest(F.sum("a"), F.lit(1e-12))).alias("s"))
     of = lambda x: size.select(F.col("node").alias(x), F.col("s").alias(f"s{x}"))
     links = both.join(of("u"), "u").join(of("v"), "v").select("u", "v", (F.col("a") / (F.col("su") * F.col("sv"))).alias("weight"))
-    v, _ = lowest(size.select("node", F.lit(1.0).alias("d")), links, k, keep=(old := []))
+    return _clustered(size.select("node", F.lit(1.0).alias("d")), links, k, most_rounds)
+
+
+def _clustered(diagonal: DataFrame, links: DataFrame | Callable[[DataFrame, int], DataFrame], k: int, most_rounds: int) -> DataFrame:
+    """(node, region) by the vectors of diagonal less links."""
+    v, _ = lowest(diagonal, links, k, keep=(old := []))
     norm = F.greatest(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
     x = written(v.select("node", F.transform("vector", lambda c: c / norm).alias("x")), old)
     away = lambda c: F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
@@ -168,7 +192,45 @@ def regions(pairs: DataFrame, k: int, most_rounds: int = 50) -> DataFrame:
     names = [r["q"] for r in label.groupBy("q").agg(F.min("node").alias("first")).orderBy("first").collect()]
     number = F.array_position(F.array(*map(F.lit, names)), F.col("q")) - 1
     out = written(label.select("node", number.cast("bigint").alias("region")))
-    dropped(pairs.sparkSession, old)
+    dropped(diagonal.sparkSession, old)
+    return out
+
+
+def _strengths(rows: DataFrame, x: DataFrame, n: int) -> DataFrame:
+    """(u, s): absolute correlations of the nodes of rows (tiles.stored()) times the n cells of x (node, x). Correlations
+    are worked out tile by tile in each product, so that no table holds them."""
+    kind = rows.schema["node"].dataType.simpleString()
+
+    def run(batch: Iterator[tiles.Tile]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for t in batch:
+            r = np.where(t.ok, np.abs(t.r), 0.0)
+            for names, y in ((t.a, r @ t.y), (t.b, r.T @ t.x)):
+                known = sums.setdefault((names[0], len(names)), (names, np.zeros(y.shape)))
+                known[1][:] += y
+        for names, y in sums.values():
+            yield pd.DataFrame({"u": names, "s": list(y)})
+
+    part = tiles.over_pairs(rows.join(x, "node"), run, f"u {kind}, s array<double>")
+    return part.groupBy("u").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(n)]).alias("s"))
+
+
+def correlated_regions(panel: DataFrame, node: str, time: str, value: str, k: int, most: int = matrices.MOST_NODES, most_rounds: int = 50) -> DataFrame:
+    """clusters() of the correlations of all pairs of nodes. Beyond most nodes they are not stored but worked out again in
+    each product with vectors."""
+    rows = tiles.stored(panel, node, time, value)
+    if rows.count() <= most:
+        kind = rows.schema["node"].dataType.simpleString()
+        return clusters(tiles.over_pairs(rows, tiles.listed, f"i {kind}, j {kind}, corr double, n bigint"), k, most)
+    sums = _strengths(rows, rows.select("node", F.array(F.lit(1.0)).alias("x")), 1)
+    size = written(rows.select("node").join(sums.select(F.col("u").alias("node"), F.sqrt(F.greatest(F.col("s")[0], F.lit(1e-12))).alias("size")), "node"), old := [])
+
+    def product(t: DataFrame, n: int) -> DataFrame:
+        x = t.join(size, "node").select("node", F.transform("x", lambda c: c / F.col("size")).alias("x"))
+        return _strengths(rows, x, n).join(size, F.col("u") == F.col("node")).select("u", F.transform("s", lambda c: c / F.col("size")).alias("s"))
+
+    out = _clustered(size.select("node", F.lit(1.0).alias("d")), product, k, most_rounds)
+    dropped(panel.sparkSession, old)
     return out
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import forecast, graphs, matrices, series, spectral
 from ..sources import stores
 from .prepare import DIST
-from .relations import ROLL, pair, roll
-from .views import EDGES, OBS, TYPES, edges, obs, query, r6, table, types
+from .relations import ROLL, roll
+from .views import EDGES, OBS, TYPES, edges, obs, panel, query, r6, table, types
 
 HORIZONS = [1, 3, 6, 9]
 
@@ -189,7 +189,7 @@ def communities(spark, d):
 @query("regions", None)
 def regions(spark, d):
     """Five spectral clusters of all nodes by their correlations."""
-    return spectral.clusters(pair(spark, d), 5)
+    return spectral.correlated_regions(panel(spark, d), "node", "date", "speed", 5)
 
 
 @query("laplacian_vectors", None)
