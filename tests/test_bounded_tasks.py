@@ -14,6 +14,22 @@ def test_partitions_follow_rows(spark):
     assert partitions(spark.range(1000), 10) == 100 and partitions(spark.range(10), 10) == 4
 
 
+def test_edge_panel_sums_ranges_of_parts(spark):
+    """Lines were joined with lines by part in a shuffle's own number of partitions."""
+    plan = optimized(registry.QUERIES["edge_panel"](spark, SF))
+    assert "Join" not in plan and "range" in registry.QUERIES["edge_panel"](spark, SF)._jdf.queryExecution().sparkPlan().toString().lower()
+
+
+def test_edge_panel_of_missing_keys(spark, tmp_path):
+    """A line without an edge counts for the edge null, one without a part for none."""
+    rows = [(1, 5, "1995-01-03", 4.0), (1, 6, "1995-01-09", 8.0), (1, None, "1995-02-01", 3.0), (2, 5, "1995-01-20", 1.0), (None, 5, "1995-01-20", 99.0)]
+    df = spark.createDataFrame(rows, "l_partkey bigint, l_suppkey bigint, l_shipdate string, l_quantity double")
+    df.withColumn("l_shipdate", df.l_shipdate.cast("timestamp_ntz")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = {(str(r.t), r.edge): (r.quantity, r.samples) for r in registry.QUERIES["edge_panel"](spark, str(tmp_path)).collect()}
+    jan, feb = "1995-01-01", "1995-02-01"
+    assert got == {(jan, 5): (3.5, 3), (jan, 6): (6.0, 2), (jan, None): (6.0, 2), (feb, 5): (3.0, 1), (feb, 6): (3.0, 1), (feb, None): (3.0, 1)}
+
+
 def test_bridge_join_is_distinct_before_the_join(spark):
     """The joined rows, distinct already, were made distinct once more in few tasks."""
     assert not optimized(registry.QUERIES["bridge_join"](spark, SF)).startswith("Aggregate")
