@@ -1,5 +1,6 @@
 """A task's share of the work doesn't grow with the input."""
 
+from tracklane.operators import series
 from tracklane.plans import registry
 from tracklane.shared import partitions
 
@@ -33,3 +34,13 @@ def test_edge_panel_of_missing_keys(spark, tmp_path):
 def test_bridge_join_is_distinct_before_the_join(spark):
     """The joined rows, distinct already, were made distinct once more in few tasks."""
     assert not optimized(registry.QUERIES["bridge_join"](spark, SF)).startswith("Aggregate")
+
+
+def test_pairs_of_one_large_group_are_many_tasks(spark):
+    df = spark.createDataFrame([("x" if i % 10 else "y", i) for i in range(200)] + [(None, 200), ("x", 7)], "g string, i bigint")
+    pairs = series.paired(df, "g", "i", band=16, most=1000)
+    got = sorted(map(tuple, pairs.selectExpr("a.g", "a.i", "b.i").collect()))
+    rows = [tuple(r) for r in df.collect()]
+    assert got == sorted((g, i, j) for g, i in rows for h, j in rows if g == h and g and i < j)
+    sizes = pairs.rdd.glom().map(len).collect()
+    assert max(sizes) < len(got) / 5
