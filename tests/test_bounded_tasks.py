@@ -1,6 +1,8 @@
 """A task's share of the work doesn't grow with the input."""
 
-from tracklane.operators import series
+import random
+
+from tracklane.operators import graphs, series
 from tracklane.plans import registry
 from tracklane.shared import partitions
 
@@ -44,3 +46,23 @@ def test_pairs_of_one_large_group_are_many_tasks(spark):
     assert got == sorted((g, i, j) for g, i in rows for h, j in rows if g == h and g and i < j)
     sizes = pairs.rdd.glom().map(len).collect()
     assert max(sizes) < len(got) / 5
+
+
+def test_distances_of_components_equal_rounds(spark):
+    """Rounds of relaxation, each of which sent tables to the driver, ran for components of any size."""
+    r = random.Random(3)
+    rows = [(r.randrange(40), r.randrange(40), float(r.randrange(4))) for _ in range(90)] + [(90, 91, 2.5), (91, 90, 1.0), (95, 95, 1.0)]
+    e = spark.createDataFrame(rows, "u bigint, v bigint, length_m double")
+    s = spark.createDataFrame([(i,) for i in [*range(0, 40, 3), 91, 91, 95, 99]], "source bigint")
+    near, far = (sorted(map(tuple, graphs.distances(e, s, few=few).collect())) for few in (10_000, 3))
+    assert near == far and len(near) > 200
+    assert {x[1:] for x in near if x[0] == 91} == {(91, 0.0, 0), (90, 1.0, 1)} and [x for x in near if x[0] > 94] == [(95, 95, 0.0, 0), (99, 99, 0.0, 0)]
+
+
+def test_chain_of_many_hops_is_few_jobs(spark):
+    e = spark.createDataFrame([(i, i + 1, 1.0) for i in range(300)], "u bigint, v bigint, length_m double")
+    spark.sparkContext.setJobGroup("chain", "chain")
+    assert graphs.distances(e, spark.createDataFrame([(0,)], "source bigint")).count() == 301
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 300
