@@ -326,6 +326,19 @@ def test_unmarked_pages_lose_what_their_host_repeats(spark, monkeypatch):
     assert got == {i: {text(i)} for i in range(6)} | {10: {f"{whole}\n\n{text(10)}\n\nAll rights reserved by the owners of this site since 1999"}, 11: {whole}, 12: {""}, 13: {text(13)}, 14: {"kept"}, 15: {whole}}
 
 
+def test_articles_lose_what_their_host_repeats_outside_of_articles(spark):
+    """A notice that a page leaves inside its article; what articles alone repeat, and an article of nothing else, stay."""
+    note = "<p>All rights reserved by the owners of this site since 1999</p>"
+    line = "<p>Sung to the tune that everyone in this valley knows by heart</p>"
+    rows = [(i, "http://one.example/", f"<article><p>text {i}</p></article><footer>{i}{note}</footer>") for i in range(3)]
+    rows += [(3, "http://one.example/b", f"<main><p>mine</p>{note}{line}</main>"), (4, "http://two.example/", f"<main><p>mine</p>{note}</main>"), (5, "http://one.example/", f"<article>{note}</article>")]
+    rows += [(i, "http://one.example/", f"<article><p>song {i}</p>{line}</article>") for i in range(6, 10)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    plain = lambda s: s[3:-4]
+    want = {i: f"text {i}" for i in range(3)} | {3: f"mine\n\n{plain(line)}", 4: f"mine\n\n{plain(note)}", 5: plain(note)}
+    assert {r.page_id: r.text for r in maintext.main_text(d).collect()} == want | {i: f"song {i}\n\n{plain(line)}" for i in range(6, 10)}
+
+
 def test_no_pages(spark):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     assert maintext.main_text(d).collect() == []

@@ -1,13 +1,13 @@
 """Main text of pages: markup where it tells, and a host's suffix array where it doesn't.
 
 A page's blocks are sorted by markup into its article (article, main and their like), boilerplate that says so (menus,
-headers, footers, sidebars, notices, adverts, forms, comments by element, class, id or role) and open blocks. What a page
-marks as its article is kept whole, however often it repeats: copies of an article, quotations and licence lines are
-text. On a page without such markup the blocks left open are decided by repetition: the words of all blocks outside of
-articles are a page's stream; streams of a host are concatenated, their suffixes sorted to the depth of LENGTH words by
-prefix doubling, and neighbours in that order that begin with the same LENGTH words on several distinct pages are
-boilerplate. Equal streams count as one page, so that copies of a page don't erase it. Open blocks mostly
-covered by such runs are removed, the others are the text.
+headers, footers, sidebars, notices, adverts, forms, comments by element, class, id or role) and open blocks. What then
+counts is repetition: the words of all blocks outside of articles are a page's stream; streams of a host are
+concatenated, their suffixes sorted to the depth of LENGTH words by prefix doubling, and neighbours in that order that
+begin with the same LENGTH words on several distinct pages are boilerplate. Equal streams count as one page, so that
+copies of a page don't erase it. Blocks mostly covered by such runs are removed, those of an article (on a page that
+marks one) or open ones; the others are the text. What repeats between articles alone is text: copies of an article,
+quotations and licence lines. So is an article of which nothing would be left.
 
 Suffixes are sorted in slices of a host's streams, so that a large host is no one task's; each slice gives a row for each
 distinct beginning, with the number of its pages, and the rows of slices are added up.
@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ LENGTH, PAGES = 8, 3
 COVERED = 0.5
 #: Words of a slice's suffix array.
 SLICE = 1 << 20
+#: Bits, and those of a part, of the filter that tells tasks which beginnings may be boilerplate (8 MB).
+BITS, PART = 1 << 26, 1 << 16
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style noscript iframe noembed noframes textarea title xmp".split())
@@ -255,7 +258,7 @@ def repeats(streams: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        keys, words, opens = [], [], []
+        keys, words = [], []
         for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             found = blocks(page)
             rest = [t for kind, t in found if kind != ARTICLE]
@@ -263,8 +266,7 @@ def _outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 w = _own(name := host(url), _stream(rest)[0])
                 keys.append(_key(name, w))
                 words.append(w.view(np.int64))
-                opens.append(len(rest) == len(found))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.list_(pa.int64())), pa.array(opens, pa.bool_())], ["key", "words", "open"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(words, pa.list_(pa.int64()))], ["key", "words"])
 
 
 def _sorted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,38 +287,61 @@ def _sorted_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield out(held)
 
 
-def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for key, w in zip(b.column(0), b.column(1), strict=True):
-            h = _beginnings(w.values.to_numpy().view(np.uint64)).view(np.int64)
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * len(h), pa.binary()), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], ["key", "at", "beginning"])
+def _bit(beginnings: np.ndarray) -> np.ndarray:
+    return (beginnings >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+
+
+def _filter(often: DataFrame) -> np.ndarray:
+    """Bytes of BITS bits, of which those of the beginnings are set."""
+
+    def part(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(PART, np.uint8)
+        bits[_bit(group["beginning"].to_numpy().view(np.uint64)) % PART] = 1
+        return pd.DataFrame({"part": group["part"].iloc[:1], "bits": [np.packbits(bits).tobytes()]})
+
+    out = np.zeros((BITS // PART, PART // 8), np.uint8)
+    parts = F.shiftrightunsigned("beginning", 64 - (BITS // PART).bit_length() + 1).alias("part")
+    for r in often.select(parts, "beginning").groupBy("part").applyInPandas(part, "part long, bits binary").toLocalIterator():
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.ravel()
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of pages with an article; blocks and key of the others."""
+def _extracted(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Texts of pages on which nothing begins as boilerplate may; blocks, key and such beginnings of the others."""
     for b in batches:
-        texts, keys, open_blocks = [], [], []
+        texts, keys, kept, hits, marked = [], [], [], [], []
         for url, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             found = blocks(page)
             article = [t for kind, t in found if kind == ARTICLE]
-            if article or all(kind == OUT for kind, _ in found):
-                texts.append("\n\n".join(article))
-                keys.append(None)
-                open_blocks.append(None)
-            else:
-                w = _own(name := host(url), _stream([t for _, t in found])[0])
+            # on a page that marks an article only its own blocks count
+            some = [(True, t) for t in article] or [(kind == NEUTRAL, t) for kind, t in found]
+            at = np.zeros(0, np.int64)
+            if bits is not None and any(x for x, _ in some):
+                w = _own(name := host(url), _stream([t for _, t in some])[0])
+                h = _beginnings(w)
+                i = _bit(h)
+                at = np.flatnonzero(bits[i >> 3] >> (7 - (i & 7)).astype(np.uint8) & 1)
+            marked.append(bool(article))
+            if len(at):
                 texts.append(None)
                 keys.append(_key(name, w))
-                open_blocks.append([{"open": kind == NEUTRAL, "text": t} for kind, t in found])
+                kept.append([{"open": x, "text": t} for x, t in some])
+                hits.append([{"at": i, "beginning": x} for i, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True)])
+            else:
+                texts.append("\n\n".join(t for x, t in some if x))
+                keys.append(None)
+                kept.append(None)
+                hits.append(None)
         shape = pa.list_(pa.struct([("open", pa.bool_()), ("text", pa.string())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(keys, pa.binary()), pa.array(open_blocks, shape)], ["page_id", "url", "text", "key", "blocks"])
+        begins = pa.list_(pa.struct([("at", pa.int32()), ("beginning", pa.int64())]))
+        columns = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(keys, pa.binary()), pa.array(kept, shape), pa.array(hits, begins), pa.array(marked, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "key", "blocks", "hits", "marked"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
-        for found, places in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for found, places, article in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
             sizes = _stream([x["text"] for x in found])[1]
             covered = np.zeros(int(sizes.sum()) + 1, np.int64)
             for at in places or ():
@@ -325,7 +350,8 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             upto = np.concatenate(([0], np.cumsum(np.cumsum(covered)[:-1] > 0)))
             ends = np.cumsum(sizes)
             share = (upto[ends] - upto[ends - sizes]) / np.maximum(sizes, 1)
-            texts.append("\n\n".join(x["text"] for x, s in zip(found, share.tolist(), strict=True) if x["open"] and s < COVERED))
+            rest = [x["text"] for x, s in zip(found, share.tolist(), strict=True) if x["open"] and s < COVERED]
+            texts.append("\n\n".join(rest or (x["text"] for x in found if article)))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -342,17 +368,20 @@ def main_text(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     keep = [] if keep is None else keep
     p = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), pages[html].alias("html"))
     kind = dict(p.dtypes)["page_id"]
-    streams = p.select("url", "html").mapInArrow(_outside, "key binary, words array<long>, open boolean")
-    streams = written(streams.groupBy("key").agg(F.first("words").alias("words"), F.max("open").alias("open")), old)
+    streams = p.select("url", "html").mapInArrow(_outside, "key binary, words array<long>")
+    streams = streams.groupBy("key").agg(F.first("words").alias("words"))
+    often = streams.select("words").mapInArrow(_sorted_slices, "beginning long, pages long")
+    often = written(often.groupBy("beginning").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES).select("beginning"), old)
+    sent = None if often.isEmpty() else spark.sparkContext.broadcast(_filter(often))
     schema = f"page_id {kind}, url string, text string"
-    found = p.mapInArrow(_extracted, f"{schema}, key binary, blocks array<struct<open: boolean, text: string>>")
+    shape = "key binary, blocks array<struct<open: boolean, text: string>>, hits array<struct<at: int, beginning: long>>, marked boolean"
+    found = p.mapInArrow(lambda batches: _extracted(batches, sent and sent.value), f"{schema}, {shape}")
     out = found.where("key IS NULL").select("page_id", "url", "text")
-    if not streams.where("open").isEmpty():
-        often = streams.select("words").mapInArrow(_sorted_slices, "beginning long, pages long")
-        often = often.groupBy("beginning").agg(F.sum("pages").alias("pages")).where(F.col("pages") >= PAGES)
-        at = streams.where("open").select("key", "words").mapInArrow(_suffixes, "key binary, at int, beginning long")
-        covered = written(at.join(often, "beginning", "left_semi").groupBy(F.col("key").alias("of")).agg(F.collect_list("at").alias("places")), keep)
-        rest = found.where("key IS NOT NULL").join(covered, F.col("key") == F.col("of"), "left")
-        out = out.unionByName(rest.select("page_id", "url", "blocks", "places").mapInArrow(_kept, schema))
+    if sent:
+        rest = written(found.where("key IS NOT NULL").drop("text"), old)
+        at = rest.groupBy("key").agg(F.first("hits").alias("hits")).select("key", F.inline("hits"))
+        covered = at.join(often, "beginning", "left_semi").groupBy(F.col("key").alias("of")).agg(F.collect_list("at").alias("places"))
+        rest = rest.join(covered, F.col("key") == F.col("of"), "left")
+        out = out.unionByName(written(rest.select("page_id", "url", "blocks", "places", "marked").mapInArrow(_kept, schema), keep))
     dropped(spark, old)
     return out.select(F.col("page_id").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
