@@ -61,3 +61,18 @@ def test_rounds_raise_the_likelihood(spark):
         model, fit = hmm.baum_welch_round(seqs, model, share)
         fits.append(fit)
     assert fits[0] < fits[1] < fits[2] < fits[3]
+
+
+def test_short_sequences_by_vectors_equal_products():
+    """Every sequence was scored by products of matrices, and classes were worked out for every word again."""
+    rng = np.random.default_rng(5)
+    share = rng.random(hmm.CLASSES) + 0.1
+    start, trans, emit = hmm.initial(share / share.sum())
+    seqs = [rng.integers(0, hmm.CLASSES, n) for n in (1, 5, 64, 65, hmm.DIRECT, hmm.DIRECT + 1, 3000)]
+    x, _, active, place, first, per = hmm._laid_out(seqs)
+    want = hmm._chained(*hmm._products(x, active, trans, emit), place, first, per, start)[0]
+    assert np.allclose(hmm.likelihoods(seqs, start, trans, emit), want, rtol=1e-12)
+    assert np.allclose(hmm._direct(seqs, start, trans, emit), want, rtol=1e-12)
+    text = "A longer-than-seven word, caf\u00e9 \tit is A"
+    words = [*text.encode().lower().split(), hmm.END]
+    assert hmm._classes_of(words).tolist() == hmm.sequence(text).tolist()

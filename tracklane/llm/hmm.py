@@ -24,12 +24,14 @@ from pyspark.sql import functions as F
 from .common import LOWER_BYTES, dropped, shuffle_partitions, word_spans, written
 
 #: STATES x CLASSES numbers are all that a task holds of the model.
-STATES, CLASSES, ROUNDS, PRIOR, CHUNK, SEGMENT, RESCALE, BLOCK_BYTES = 6, 4096, 11, 20.0, 64, 128, 4, 8_000_000
+STATES, CLASSES, ROUNDS, PRIOR, CHUNK, SEGMENT, RESCALE, BLOCK_BYTES, BATCH = 6, 4096, 11, 20.0, 64, 128, 4, 8_000_000, 400_000
 #: Of a state's emissions and moves, the shares that priors have at least. With them no word is less than a ten
 #: thousandth as likely in a state as in the corpus however large that is, which keeps vectors within single precision
 #: for RESCALE steps.
 LEAST_EMITTED, LEAST_MOVED = 1e-4, 1e-6
 END = b""
+#: Sequences up to this length are scored by vectors, longer ones by products of matrices.
+DIRECT = 1024
 
 
 def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -41,6 +43,17 @@ def classes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return ((h ^ (h >> 17)) * 0x85EBCA77 >> 13) % (CLASSES - 1) + 1
 
 
+def _classes_of(words: list[bytes]) -> np.ndarray:
+    """The class of each of some lower-cased words, END among them."""
+    data = np.frombuffer(b" ".join(words) or b" ", np.uint8)
+    size = np.array([len(w) for w in words])
+    ends = np.cumsum(size + 1) - 1
+    of = np.zeros(len(words), np.int64)
+    real = np.flatnonzero(size)
+    of[real] = classes(data, (ends - size)[real], ends[real])
+    return of
+
+
 def sequence(text: str | None) -> np.ndarray:
     """Classes of a text's words and its end."""
     data = LOWER_BYTES[np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)]
@@ -104,11 +117,30 @@ def _chained(m: np.ndarray, log: np.ndarray, place: np.ndarray, first: np.ndarra
 
 def likelihoods(seqs: list[np.ndarray], start: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Natural logarithm of each sequence's probability."""
-    if not seqs:
-        return np.zeros(0)
-    x, _, active, place, first, per = _laid_out(seqs)
-    m, log = _products(x, active, trans, emit)
-    return _chained(m, log, place, first, per, start)[0]
+    out = np.zeros(len(seqs))
+    size = np.array([len(s) for s in seqs], int)
+    short = np.flatnonzero(size <= DIRECT)
+    if len(short):
+        out[short] = _direct([seqs[i] for i in short], start, trans, emit)
+    long = np.flatnonzero(size > DIRECT)
+    if len(long):
+        x, _, active, place, first, per = _laid_out([seqs[i] for i in long])
+        m, log = _products(x, active, trans, emit)
+        out[long] = _chained(m, log, place, first, per, start)[0]
+    return out
+
+
+def _direct(seqs: list[np.ndarray], start: np.ndarray, trans: np.ndarray, emit: np.ndarray) -> np.ndarray:
+    """likelihoods() by vectors that move through all sequences in step."""
+    x, _, active, place, *_ = _laid_out(seqs, max(map(len, seqs)))
+    x, moved = np.ascontiguousarray(x.T), np.ascontiguousarray(trans.T)
+    v, log = np.tile(start[:, None], (1, x.shape[1])), np.zeros(x.shape[1])
+    for t, n in enumerate(active.tolist()):
+        step = (moved @ v[:, :n]) * emit.take(x[t, :n], axis=1)
+        scale = step.sum(0)
+        v[:, :n] = step / scale
+        log[:n] += np.log(scale)
+    return log[place]
 
 
 def expected(seqs: list[np.ndarray], start: np.ndarray, trans: np.ndarray, emit: np.ndarray, share: np.ndarray, resume: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
@@ -119,48 +151,53 @@ def expected(seqs: list[np.ndarray], start: np.ndarray, trans: np.ndarray, emit:
     """
     k = len(start)
     x, length, active, place, first, _ = _laid_out(seqs, SEGMENT)
-    by_class = np.ascontiguousarray((emit / share).T.astype(np.float32))
+    x = np.ascontiguousarray(x.T)
+    relative = (emit / share).astype(np.float32)
     trans32 = trans.astype(np.float32)
-    n_all, steps = len(x), int((active > 0).sum())
+    n_all, steps = x.shape[1], int((active > 0).sum())
     head = np.zeros(n_all, bool)
     head[place[first]] = True
-    alpha = np.zeros((steps + 1, n_all, k), np.float32)
-    alpha[0] = np.where(head[:, None], start, resume)
-    fit, e = 0.0, []
+    # states are rows, so that steps run along segments
+    alpha = np.zeros((steps + 1, k, n_all), np.float32)
+    alpha[0] = np.where(head, start[:, None], resume[:, None])
+    fit, e, scales = 0.0, [], {}
     for t in range(steps):
         n = active[t]
-        e.append(by_class[x[:n, t]])
-        a = (alpha[t, :n] @ trans32) * e[t]
+        e.append(relative.take(x[t, :n], axis=1))
+        a = (trans32.T @ alpha[t, :, :n]) * e[t]
         if t % RESCALE == RESCALE - 1:
-            scale = a.sum(1)
+            scales[t] = scale = a.sum(0)
             fit += float(np.log(scale).sum())
-            a /= scale[:, None]
-        alpha[t + 1, :n] = a
-    ends = alpha[length, np.arange(n_all)].sum(1)
+            a /= scale
+        alpha[t + 1, :, :n] = a
+    ends = alpha[length, :, np.arange(n_all)].sum(1)
     fit += float(np.log(ends).sum()) + float(np.log(share)[np.concatenate(seqs)].sum())
     moves, weights, symbols = np.zeros((k, k)), [], []
-    beta = np.ones((n_all, k), np.float32)
+    beta = np.ones((k, n_all), np.float32)
     for t in range(steps - 1, -1, -1):
         n = active[t]
-        b = beta[:n]
+        b = beta[:, :n]
         eb = e[t] * b
-        back = eb @ trans32.T
-        gamma = alpha[t + 1, :n] * b
-        weights.append(gamma / gamma.sum(1, keepdims=True))
-        symbols.append(x[:n, t])
-        norm = np.einsum("ij,ij->i", alpha[t, :n], back)
-        moves += (alpha[t, :n] / norm[:, None]).T @ eb
+        back = trans32 @ eb
+        gamma = alpha[t + 1, :, :n] * b
+        whole = gamma.sum(0)
+        gamma /= whole
+        weights.append(gamma)
+        symbols.append(x[t, :n])
+        # the sum of alpha[t] * back is the same, before the scaling of alpha[t + 1]
+        norm = whole * scales[t] if t in scales else whole
+        moves += (alpha[t, :, :n] / norm) @ eb.T
         if t % RESCALE == 0:
-            back /= back.sum(1, keepdims=True)
-        beta[:n] = back
-    begin = start * beta[head]
-    begin = (begin / begin.sum(1, keepdims=True)).sum(0)
-    symbol, weight = np.concatenate(symbols), np.concatenate(weights)
-    emitted = np.stack([np.bincount(symbol, weight[:, i], CLASSES) for i in range(k)])
+            back /= back.sum(0)
+        beta[:, :n] = back
+    begin = start[:, None] * beta[:, head]
+    begin = (begin / begin.sum(0)).sum(1)
+    symbol = np.concatenate(symbols)
+    emitted = np.stack([np.bincount(symbol, w, CLASSES) for w in np.concatenate(weights, 1)])
     return begin, moves * trans, emitted, fit
 
 
-def _batches(seqs: Iterator[np.ndarray], tokens: int = 100_000) -> Iterator[list[np.ndarray]]:
+def _batches(seqs: Iterator[np.ndarray], tokens: int = BATCH) -> Iterator[list[np.ndarray]]:
     held, n = [], 0
     for s in seqs:
         held.append(s)
@@ -247,12 +284,7 @@ def scored(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
             words.append(END)
             (learned if of else seen).update(words)
         words = list(learned.keys() | seen.keys())
-        data = np.frombuffer(b" ".join(words) or b" ", np.uint8)
-        size = np.array([len(w) for w in words])
-        ends = np.cumsum(size + 1) - 1
-        of = np.zeros(len(words), np.int64)
-        real = np.flatnonzero(size)
-        of[real] = classes(data, (ends - size)[real], ends[real])
+        of = _classes_of(words)
         return pd.DataFrame({"word": words, "block": block["block"].iloc[0], "class": of.astype(np.int32), "n": np.array([learned[w] for w in words], np.int64)})
 
     asked = dealt.groupBy("block").applyInPandas(ask, "word binary, block int, class int, n long")
@@ -279,12 +311,12 @@ def scored(docs: DataFrame, train: Column, text: str = "text", key: str = "doc_i
         c = words["c"].to_numpy()
         at = dict(zip(words["word"].tolist(), range(len(c)), strict=True))
         log = np.log10(c + 0.5)
-        rows, seqs = [], []
+        rows, seqs, of = [], [], _classes_of(words["word"].tolist())
         for t in block["text"]:
             tokens = (t or "").encode("utf-8", "surrogatepass").lower().split()
             tokens.append(END)
             i = np.fromiter(map(at.__getitem__, tokens), np.int64, len(tokens))
-            s = sequence(t)
+            s = of[i]
             seqs.append(s)
             own = float(log[i].sum())
             rows.append((len(tokens), int((c[i] > 0).sum()), own - len(tokens) * base, own - float(log_within[s].sum())))
