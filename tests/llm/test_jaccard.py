@@ -125,3 +125,43 @@ def test_pairs_within_two_bits_are_the_index_s_alone(spark, monkeypatch):
     linked = jaccard.links
     monkeypatch.setattr(jaccard, "links", lambda fps: linked(fps).where("false"))
     assert got(spark, texts) == [0, 1, 2]
+
+
+def test_no_probes_of_the_index_go_through_the_driver(spark):
+    """They were broadcast, 34 rows for each fingerprint, since Spark estimates them as large as the fingerprints."""
+    r = np.random.default_rng(12)
+    fps = spark.createDataFrame([(int(x),) for x in r.integers(-(2**63), 2**63, 500)], "fp long")
+    plan = simhash.candidates(fps)._jdf.queryExecution().executedPlan().initialPlan()
+    sent, rest = [], [plan]
+    while rest:
+        node = rest.pop()
+        if node.nodeName().startswith("BroadcastExchange"):
+            sent.append(node.toString())
+        rest += [node.children().apply(i) for i in range(node.children().size())]
+    assert not [x for x in sent if "Generate" in x]
+
+
+def test_groups_are_the_same_where_nothing_is_broadcast(spark, monkeypatch):
+    r = np.random.default_rng(13)
+    monkeypatch.setattr(jaccard, "SENT", -1)
+    texts = []
+    for _ in range(40):
+        own = words(r, 120)
+        texts += [" ".join(own), " ".join([*own[:-2], "some", "more"]), " ".join(own)]
+    assert got(spark, texts) == kept(texts) == list(range(0, 120, 3))
+
+
+def test_a_sketch_holds_a_byte_for_each_cell(monkeypatch):
+    """134 MB a task before. Counts beyond a byte are kept, and take wider cells only where they are many."""
+    r = np.random.default_rng(14)
+    for most in (10**6, 3):
+        monkeypatch.setattr(jaccard, "CELLS", 1 << 10)
+        monkeypatch.setattr(jaccard, "CHUNK", 1 << 8)
+        table, want = jaccard.Counts(), np.zeros(1 << 10, np.int64)
+        assert table.few.nbytes == jaccard.CELLS
+        for i in range(1000):
+            cells = np.concatenate((r.integers(0, 1 << 10, 50), [5, 5, 700])) if most > 3 or i % 2 else np.arange(600)
+            table.add(cells)
+            np.add.at(want, cells, 1)
+        assert (table.few.itemsize > 1) == (most == 3)
+        assert np.concatenate([table.chunk(i) for i in range(4)]).tolist() == want.tolist() and want.max() > 1000

@@ -75,6 +75,9 @@ def candidates(fps: DataFrame, column: str = "fp", hot: int = HOT) -> DataFrame:
     A segment value with over hot members is divided by halves of the other segment: beside an equal segment, one of
     them is within one bit; beside one that differs, one of them is equal, since two bits differ at most in all. So
     no pair within two bits is lost at any size.
+
+    Probes, 34 rows for each fingerprint, are merged with the tables: Spark takes an exploded table for as small as what
+    it is exploded from, and would send it to all tasks through the driver.
     """
     x = fps.select(F.col(column).alias("fp")).distinct()
     part = lambda j: F.shiftrightunsigned("rest", SEGMENT // 2) if j else F.col("rest").bitwiseAND(F.lit((1 << SEGMENT // 2) - 1).cast("long"))
@@ -86,7 +89,7 @@ def candidates(fps: DataFrame, column: str = "fp", hot: int = HOT) -> DataFrame:
     table, probe = tables[0].unionAll(tables[1]), probes[0].unionAll(probes[1]).withColumn("same", F.col("value") == F.col("own")).drop("own")
     keys = ["segment", "value"]
     large = table.groupBy(*keys).agg(F.count("*").alias("members")).where(F.col("members") > hot).select(*keys)
-    pair = lambda t, p, on: t.withColumnRenamed("fp", "b").join(p.withColumnRenamed("fp", "a"), on).where(~F.col("same") | (F.col("b") < F.col("a"))).select("a", "b")
+    pair = lambda t, p, on: t.withColumnRenamed("fp", "b").join(p.withColumnRenamed("fp", "a").hint("merge"), on).where(~F.col("same") | (F.col("b") < F.col("a"))).select("a", "b")
     few = pair(table.drop("rest").join(large, keys, "left_anti"), probe.drop("rest"), keys)
     table, probe = table.join(large, keys), probe.join(large, keys)
     entry = lambda j, v: F.struct(F.lit(j).alias("j"), v.alias("v"))
@@ -94,7 +97,7 @@ def candidates(fps: DataFrame, column: str = "fp", hot: int = HOT) -> DataFrame:
     # beside an equal segment both of a pair probe, and the ball's one-sided half suffices
     near = lambda j: F.transform(F.when(F.col("same"), _ball(part(j), SEGMENT // 2)).otherwise(F.array(part(j))), lambda v: entry(j, v))
     probe = probe.select(*keys, "fp", "same", F.explode(F.concat(near(0), near(1))).alias("sub"))
-    many = table.withColumnRenamed("fp", "b").join(probe.withColumnRenamed("fp", "a"), [*keys, "sub"]).where("a <> b").select("a", "b")
+    many = table.withColumnRenamed("fp", "b").join(probe.withColumnRenamed("fp", "a").hint("merge"), [*keys, "sub"]).where("a <> b").select("a", "b")
     return few.unionAll(many)
 
 
