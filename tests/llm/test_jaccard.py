@@ -165,3 +165,16 @@ def test_a_sketch_holds_a_byte_for_each_cell(monkeypatch):
             np.add.at(want, cells, 1)
         assert (table.few.itemsize > 1) == (most == 3)
         assert np.concatenate([table.chunk(i) for i in range(4)]).tolist() == want.tolist() and want.max() > 1000
+
+
+def test_the_index_grows_with_the_texts(spark, monkeypatch):
+    """It took only sets that share a shingle of their prefixes, whose number can grow much faster: none of the first
+    40 texts here, and nearly all of five times as many."""
+    r, taken = np.random.default_rng(15), []
+    linked = jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda fps: linked(taken.append(fps.select("fp").distinct().count()) or fps))
+    common_words = words(r, 12)
+    for n, shared in ((40, False), (200, True)):
+        texts = [" ".join([*words(r, 6), *(common_words[i % 4 :][:8] if shared else words(r, 8)), *words(r, 6)]) for i in range(n)]
+        assert got(spark, texts) == kept(texts)
+    assert taken == [40, 200]

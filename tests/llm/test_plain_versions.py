@@ -66,6 +66,18 @@ def test_candidates_beyond_two_bits_are_dropped(spark, hot):
     assert {(min(x), max(x)) for x in map(tuple, c.collect())} == want == set(map(tuple, simhash.links(d).collect()))
 
 
+@pytest.mark.parametrize("hot", [1, 256])
+def test_the_index_finds_any_two_bits_by_few_rows(spark, hot):
+    """One and two bits at all places around a value; a fingerprint was exploded to up to 66 rows for its lookups."""
+    base = 0x0123456789ABCDEF
+    signed = lambda x: x if x < 1 << 63 else x - (1 << 64)
+    f = {signed(base ^ (1 << i) ^ (1 << j if j < 64 else 0)) for i in range(64) for j in range(i + 1, 65)}
+    d = spark.createDataFrame([(signed(base),), *[(x,) for x in f]], "fp long")
+    c = simhash.candidates(d, hot=hot)
+    assert {x.b if x.a == signed(base) else x.a for x in c.where((F.col("a") == signed(base)) | (F.col("b") == signed(base))).collect()} == f
+    assert "transform" not in c._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_contexts_find_identifiers_that_no_rule_knows(spark):
     r = np.random.default_rng(9)
     hexed = lambda n: "".join("0123456789abcdef"[i] for i in r.integers(0, 16, n))

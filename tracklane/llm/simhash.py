@@ -3,11 +3,10 @@
 Contract of the query: words of the ASCII-lower-cased text, three-word shingles with repeats, XXH64 (seed 42) of
 each, majority bits; fingerprints link at two or fewer differing bits; components of links.
 
-Multi-index hashing. A fingerprint is cut into two 32-bit segments, each with a table from its value to fingerprints.
-Of the two segments of fingerprints within two bits, one differs in one bit at most. So for each segment the Hamming
-ball of radius one is enumerated and looked up in that segment's table, and matches are verified by the complete
-distance. Of two values one bit apart only the one with the bit set looks the other up, which halves the lookups.
-Values with very many members are divided further (candidates()).
+Multi-index hashing. A fingerprint is cut into three segments of 21, 21 and 22 bits, each with a table from its value to
+fingerprints. Two differing bits lie in two segments at most, so of the three segments of fingerprints within two bits
+one is equal: a lookup of the own values in each table brings all such pairs together, three rows for each fingerprint,
+and matches are verified by the complete distance. Values with very many members are divided further (candidates()).
 """
 
 from __future__ import annotations
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import components, dropped, plain, words_of, written
 
-SEED, SEGMENT, HOT = 42, 32, 256
+SEED, SEGMENTS, HOT = 42, 3, 256
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -59,46 +58,36 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", shing
     return d.mapInPandas(run, f"{key} {d.schema[key].dataType.simpleString()}, fp long")
 
 
-def _half(fp: Column, segment: int) -> Column:
-    return F.shiftrightunsigned(fp, SEGMENT) if segment == 0 else fp.bitwiseAND(F.lit((1 << SEGMENT) - 1).cast("long"))
+def _bits(x: Column, low: int, high: int) -> Column:
+    return F.shiftrightunsigned(x, low).bitwiseAND(F.lit((1 << high - low) - 1).cast("long"))
 
 
-def _ball(value: Column, width: int) -> Column:
-    """The value and those with one of its set bits cleared: of two values one bit apart, just one has the other."""
-    bits = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(width)])
-    return F.transform(F.filter(bits, lambda b: (b == 0) | (value.bitwiseAND(b) != 0)), lambda b: value - b)
+def _edges(width: int) -> list[tuple[int, int]]:
+    """The first bit of each segment of width bits, and the bit after its last."""
+    return [(i * width // SEGMENTS, (i + 1) * width // SEGMENTS) for i in range(SEGMENTS)]
 
 
 def candidates(fps: DataFrame, column: str = "fp", hot: int = HOT) -> DataFrame:
-    """Pairs (a, b) of fingerprints that a table lookup brings together: equal in one segment but for one bit at most.
+    """Pairs (a, b), b < a, of fingerprints that a table lookup brings together: equal in one segment.
 
-    A segment value with over hot members is divided by halves of the other segment: beside an equal segment, one of
-    them is within one bit; beside one that differs, one of them is equal, since two bits differ at most in all. So
-    no pair within two bits is lost at any size.
+    A segment value with over hot members is divided by segments of the other bits, of which one is equal too, since two
+    bits differ at most in all. So no pair within two bits is lost at any size.
 
-    Probes, 34 rows for each fingerprint, are merged with the tables: Spark takes an exploded table for as small as what
-    it is exploded from, and would send it to all tasks through the driver.
+    Tables are merged with themselves: Spark takes an exploded table for as small as what it is exploded from, and would
+    send it to all tasks through the driver.
     """
-    x = fps.select(F.col(column).alias("fp")).distinct()
-    part = lambda j: F.shiftrightunsigned("rest", SEGMENT // 2) if j else F.col("rest").bitwiseAND(F.lit((1 << SEGMENT // 2) - 1).cast("long"))
-    tables, probes = [], []
-    for s in (0, 1):
-        own, rest = _half(F.col("fp"), s), _half(F.col("fp"), 1 - s)
-        tables.append(x.select(F.lit(s).alias("segment"), own.alias("value"), "fp", rest.alias("rest")))
-        probes.append(x.select(F.lit(s).alias("segment"), F.explode(_ball(own, SEGMENT)).alias("value"), "fp", rest.alias("rest"), own.alias("own")))
-    table, probe = tables[0].unionAll(tables[1]), probes[0].unionAll(probes[1]).withColumn("same", F.col("value") == F.col("own")).drop("own")
-    keys = ["segment", "value"]
+    x, keys = fps.select(F.col(column).alias("fp")).distinct(), ["segment", "value"]
+    tables, rests = [], []
+    for s, (low, high) in enumerate(_edges(64)):
+        tables.append(x.select(F.lit(s).alias("segment"), _bits(F.col("fp"), low, high).alias("value"), "fp"))
+        rest = F.shiftleft(_bits(F.col("fp"), high, 64), low).bitwiseOR(_bits(F.col("fp"), 0, low))
+        rests.append(F.array(*[F.struct(F.lit(j).alias("j"), _bits(rest, *e).alias("v")) for j, e in enumerate(_edges(64 - high + low))]))
+    table = tables[0].unionAll(tables[1]).unionAll(tables[2])
     large = table.groupBy(*keys).agg(F.count("*").alias("members")).where(F.col("members") > hot).select(*keys)
-    pair = lambda t, p, on: t.withColumnRenamed("fp", "b").join(p.withColumnRenamed("fp", "a").hint("merge"), on).where(~F.col("same") | (F.col("b") < F.col("a"))).select("a", "b")
-    few = pair(table.drop("rest").join(large, keys, "left_anti"), probe.drop("rest"), keys)
-    table, probe = table.join(large, keys), probe.join(large, keys)
-    entry = lambda j, v: F.struct(F.lit(j).alias("j"), v.alias("v"))
-    table = table.select(*keys, "fp", F.explode(F.array(entry(0, part(0)), entry(1, part(1)))).alias("sub"))
-    # beside an equal segment both of a pair probe, and the ball's one-sided half suffices
-    near = lambda j: F.transform(F.when(F.col("same"), _ball(part(j), SEGMENT // 2)).otherwise(F.array(part(j))), lambda v: entry(j, v))
-    probe = probe.select(*keys, "fp", "same", F.explode(F.concat(near(0), near(1))).alias("sub"))
-    many = table.withColumnRenamed("fp", "b").join(probe.withColumnRenamed("fp", "a").hint("merge"), [*keys, "sub"]).where("a <> b").select("a", "b")
-    return few.unionAll(many)
+    pair = lambda t, on: t.withColumnRenamed("fp", "b").join(t.withColumnRenamed("fp", "a").hint("merge"), on).where("b < a").select("a", "b")
+    few = pair(table.join(large, keys, "left_anti"), keys)
+    divided = table.join(large, keys).select(*keys, "fp", F.explode(F.array(*rests)[F.col("segment")]).alias("sub"))
+    return few.unionAll(pair(divided, [*keys, "sub"]))
 
 
 def links(fps: DataFrame, column: str = "fp", radius: int = 2) -> DataFrame:
