@@ -168,8 +168,8 @@ def test_a_sketch_holds_a_byte_for_each_cell(monkeypatch):
 
 
 def test_the_index_grows_with_the_texts(spark, monkeypatch):
-    """It took only sets that share a shingle of their prefixes, whose number can grow much faster: none of the first
-    40 texts here, and nearly all of five times as many."""
+    """It took only sets that share a shingle of their prefixes (none of these texts), whose number can grow much
+    faster than that of the texts."""
     r, taken = np.random.default_rng(15), []
     linked = jaccard.links
     monkeypatch.setattr(jaccard, "links", lambda fps: linked(taken.append(fps.select("fp").distinct().count()) or fps))
