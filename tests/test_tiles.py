@@ -55,3 +55,30 @@ def test_pairs_are_not_shuffled(spark, panel):
     for plan in (tiles.over_pairs(rows, tiles.listed, "i long, j long, corr double, n long", 1), tiles.over_pairs(rows, tiles.largest(9, 0.1), "i long, j long, corr double", 1)):
         assert plan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     assert tiles.BANDS * (tiles.BANDS + 1) // 2 == tiles.over_pairs(rows, tiles.listed, "i long, j long, corr double, n long", 1).rdd.getNumPartitions()
+
+
+@pytest.mark.parametrize("widest", [1 << 22, 40])
+def test_classes_of_equal_series_stand_for_all_their_nodes(panel, monkeypatch, widest):
+    """Each node's pairs were worked out, however many nodes have the same series."""
+    monkeypatch.setattr(tiles, "WIDEST", widest)
+    copies = panel.unionAll(panel.selectExpr("node + 1000", "t", "v")).unionAll(panel.where("node < 70").selectExpr("node + 2000", "t", "v"))
+    rows = tiles.stored(copies, "node", "t", "v")
+    few = tiles.alike(rows)
+    assert rows.count() == 56 and few.count() == 23 and {r.w for r in few.collect()} == {2, 3}
+    half = lambda t: (t.r > 0.3).astype(np.int64)
+    (a, b) = ({r.part: r for r in tiles.totals(d, half, extremes=True).collect()} for d in (rows, few))
+    assert a.keys() == b.keys() and all(np.allclose([*a[k]], [*b[k]]) for k in a)
+    for few_values in (1 << 17, 2):
+        (q, s), (p, z) = (tiles.quantiles(d, [0.05, 0.5, 0.95], parts=8, few=few_values) for d in (rows, few))
+        assert np.allclose(q[0], p[0]) and np.allclose(s[0], z[0])
+
+
+def test_means_are_the_same_in_any_order(spark):
+    """Copies of a node had means of other last bits, and so other series."""
+    r = np.random.default_rng(8)
+    x = [0.1, 0.2, 0.3, 560.21, -7e5, 1 / 3, 0.0]
+    rows = [(g, float(v)) for g in range(40) for v in r.permutation(x)] + [(100, 1e-30), (100, 3e-30), (101, None), (102, 3e9), (102, None), (103, float("nan"))]
+    d = spark.createDataFrame(rows, "g int, v double").repartition(7)
+    got = {q.g: q.m for q in d.groupBy("g").agg(series.steady_mean("v").alias("m")).collect()}
+    assert len({got[g] for g in range(40)}) == 1 and abs(got[0] - sum(x) / 7) < 1e-9
+    assert got[100] == 2e-30 and got[101] is None and got[102] == 3e9 and np.isnan(got[103])
