@@ -4,7 +4,9 @@ import random
 
 import numpy as np
 
-from tracklane.operators import graphs, spectral
+from pyspark.sql import functions as F
+
+from tracklane.operators import graphs, spectral, tiles
 
 
 def test_betweenness_by_slices_of_components_equals_levels(spark):
@@ -30,3 +32,22 @@ def test_laplacian_vectors_of_many_components(spark):
     got = {r.node: np.array(r.place) for r in spectral.laplacian_vectors(e, 3, most=20).collect()}
     v = np.array([got[i] for i in range(80)])
     assert np.allclose(v.T @ v, np.eye(3)) and all(np.allclose(got[k * 10 + i], got[k * 10]) for k in range(8) for i in range(10))
+
+
+def test_products_of_classes_of_equal_series_are_those_of_nodes(spark):
+    """Each product worked out the correlations of all nodes, however many had the same series."""
+    g = np.random.default_rng(3)
+    base = g.normal(size=(3, 20))
+    x = np.array([base[i % 3] + 0.3 * g.normal(size=20) for i in range(21)])
+    x[20] = 4.0  # a constant, whose copies don't correlate with each other
+    x = np.vstack([x, x[:15], x[18:], x[:6]])
+    d = spark.createDataFrame([(i, t, float(x[i, t])) for i in range(45) for t in range(20) if (i + t) % 7], "node bigint, t int, v double")
+    d = d.unionAll(d.where("node < 9").selectExpr("node + 100", "t", "v"))
+    rows = tiles.stored(d, "node", "t", "v")
+    classes = tiles.alike(rows)
+    of = rows.join(classes.select("t", "v", F.col("node").alias("class")), ["t", "v"]).select("node", "class", tiles.with_itself("v").alias("own"))
+    w = rows.select("node", F.array((F.col("node") % 5).cast("double"), F.lit(1.0)).alias("x"))
+    want, got = ({r.u: r.s for r in s.collect()} for s in (spectral._strengths(rows, w, 2), spectral._shared_strengths(classes, of, w, 2)))
+    assert classes.count() < rows.count() == len(want) and want.keys() == got.keys() and all(np.allclose(want[k], got[k]) for k in want)
+    far, near = ({r.node: r.region for r in spectral.correlated_regions(d.where("node not in (20, 38)"), "node", "t", "v", 3, most=most).collect()} for most in (10, 4096))
+    assert far == near and len(set(far.values())) == 3

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from ..shared import dropped, written
 from . import graphs, matrices, tiles
 
-#: Vectors beyond those that are asked for, which speed the others up.
-GUARD = 4
+#: Vectors beyond those that are asked for, which speed the others up; more where a product costs much, whatever it has.
+GUARD, MANY = 4, 16
 PARTS = ("x", "w", "p")
 
 
@@ -70,7 +70,7 @@ def _lowest(g: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarra
     return v[:n], (q @ c[:, :n]) / size[:, None]
 
 
-def lowest(diagonal: DataFrame, links: DataFrame | Callable[[DataFrame, int], DataFrame], k: int, tolerance: float = 1e-6, most_rounds: int = 200, keep: list[str] | None = None) -> tuple[DataFrame, np.ndarray]:
+def lowest(diagonal: DataFrame, links: DataFrame | Callable[[DataFrame, int], DataFrame], k: int, tolerance: float = 1e-6, most_rounds: int = 200, keep: list[str] | None = None, guard: int = GUARD) -> tuple[DataFrame, np.ndarray]:
     """(node, vector), vector the k cells that a node has in the eigenvectors of the lowest values, and these values.
 
     The matrix is diagonal (node, d) less links (u, v, weight), which hold both directions, or less what links(t, n)
@@ -78,7 +78,7 @@ def lowest(diagonal: DataFrame, links: DataFrame | Callable[[DataFrame, int], Da
     residual is below tolerance times the largest of 1 and the values; not getting there is an ArithmeticError. There
     must be several times as many nodes as vectors.
     """
-    spark, keep, n = diagonal.sparkSession, [] if keep is None else keep, k + GUARD
+    spark, keep, n = diagonal.sparkSession, [] if keep is None else keep, k + guard
     old: list[str] = []
     if isinstance(links, DataFrame):
         links = written(links.select("u", "v", "weight"), old)
@@ -168,9 +168,9 @@ def regions(pairs: DataFrame, k: int, most_rounds: int = 50) -> DataFrame:
     return _clustered(size.select("node", F.lit(1.0).alias("d")), links, k, most_rounds)
 
 
-def _clustered(diagonal: DataFrame, links: DataFrame | Callable[[DataFrame, int], DataFrame], k: int, most_rounds: int) -> DataFrame:
+def _clustered(diagonal: DataFrame, links: DataFrame | Callable[[DataFrame, int], DataFrame], k: int, most_rounds: int, guard: int = GUARD) -> DataFrame:
     """(node, region) by the vectors of diagonal less links."""
-    v, _ = lowest(diagonal, links, k, keep=(old := []))
+    v, _ = lowest(diagonal, links, k, keep=(old := []), guard=guard)
     norm = F.greatest(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)), F.lit(1e-12))
     x = written(v.select("node", F.transform("vector", lambda c: c / norm).alias("x")), old)
     away = lambda c: F.aggregate(F.zip_with("x", F.array(*map(F.lit, c)), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
@@ -215,21 +215,40 @@ def _strengths(rows: DataFrame, x: DataFrame, n: int) -> DataFrame:
     return part.groupBy("u").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(n)]).alias("s"))
 
 
+def _shared_strengths(classes: DataFrame, of: DataFrame, x: DataFrame, n: int) -> DataFrame:
+    """_strengths() of nodes of which those with equal series are one class: classes (node, t, v), named by its smallest
+    node, and of (node, class, own), own the correlation with a node of the same class. A class's cells are added up,
+    and what its nodes are times the others of their class comes to the sum of the class without their own cells."""
+    both = written(of.join(x, "node"), old := [])
+    sums = both.groupBy(F.col("class").alias("node")).agg(F.array(*[F.sum(F.col("x")[i]) for i in range(n)]).alias("x"))
+    sums = written(sums, old)
+    far = _strengths(classes.select("node", "t", "v"), sums, n).withColumnRenamed("s", "far")
+    far = sums.join(far, F.col("node") == F.col("u"), "left").select(F.col("node").alias("class"), F.col("x").alias("all"), "far")
+    s = F.array(*[F.coalesce(F.col("far")[i], F.lit(0.0)) + F.col("own") * (F.col("all")[i] - F.col("x")[i]) for i in range(n)])
+    out = written(both.join(far, "class").select(F.col("node").alias("u"), s.alias("s")))
+    dropped(x.sparkSession, old)
+    return out
+
+
 def correlated_regions(panel: DataFrame, node: str, time: str, value: str, k: int, most: int = matrices.MOST_NODES, most_rounds: int = 50) -> DataFrame:
     """clusters() of the correlations of all pairs of nodes. Beyond most nodes they are not stored but worked out again in
-    each product with vectors."""
+    each product with vectors, once for each two distinct series."""
     rows = tiles.stored(panel, node, time, value)
-    if rows.count() <= most:
+    count = rows.count()
+    if count <= most:
         kind = rows.schema["node"].dataType.simpleString()
         return clusters(tiles.over_pairs(rows, tiles.listed, f"i {kind}, j {kind}, corr double, n bigint"), k, most)
-    sums = _strengths(rows, rows.select("node", F.array(F.lit(1.0)).alias("x")), 1)
-    size = written(rows.select("node").join(sums.select(F.col("u").alias("node"), F.sqrt(F.greatest(F.col("s")[0], F.lit(1e-12))).alias("size")), "node"), old := [])
+    classes = tiles.alike(rows, old := [])
+    of = written(rows.join(classes.select("t", "v", F.col("node").alias("class")), ["t", "v"]).select("node", "class", tiles.with_itself("v").alias("own")), old)
+    sums = _shared_strengths(classes, of, of.select("node", F.array(F.lit(1.0)).alias("x")), 1)
+    size = written(sums.select(F.col("u").alias("node"), F.sqrt(F.greatest(F.col("s")[0], F.lit(1e-12))).alias("size")), old)
 
     def product(t: DataFrame, n: int) -> DataFrame:
         x = t.join(size, "node").select("node", F.transform("x", lambda c: c / F.col("size")).alias("x"))
-        return _strengths(rows, x, n).join(size, F.col("u") == F.col("node")).select("u", F.transform("s", lambda c: c / F.col("size")).alias("s"))
+        return _shared_strengths(classes, of, x, n).join(size, F.col("u") == F.col("node")).select("u", F.transform("s", lambda c: c / F.col("size")).alias("s"))
 
-    out = _clustered(size.select("node", F.lit(1.0).alias("d")), product, k, most_rounds)
+    guard = max(GUARD, min(MANY, count // 8 - k))
+    out = _clustered(size.select("node", F.lit(1.0).alias("d")), product, k, most_rounds, guard)
     dropped(panel.sparkSession, old)
     return out
 

@@ -189,7 +189,7 @@ def communities(spark, d):
 @query("regions", None)
 def regions(spark, d):
     """Five spectral clusters of all nodes by their correlations."""
-    return spectral.correlated_regions(panel(spark, d), "node", "date", "speed", 5)
+    return spectral.correlated_regions(panel(spark, d, series.steady_mean), "node", "date", "speed", 5)
 
 
 @query("laplacian_vectors", None)
