@@ -82,3 +82,20 @@ def test_means_are_the_same_in_any_order(spark):
     got = {q.g: q.m for q in d.groupBy("g").agg(series.steady_mean("v").alias("m")).collect()}
     assert len({got[g] for g in range(40)}) == 1 and abs(got[0] - sum(x) / 7) < 1e-9
     assert got[100] == 2e-30 and got[101] is None and got[102] == 3e9 and np.isnan(got[103])
+
+
+@pytest.mark.parametrize("widest", [1 << 22, 40])
+def test_pairs_named_apart_are_parts_of_classes(panel, monkeypatch, widest):
+    """Parts of pairs of nodes, told by the nodes, are counted in pairs of classes."""
+    monkeypatch.setattr(tiles, "WIDEST", widest)
+    copies = panel.selectExpr("node * 3 AS node", "t", "v").unionAll(panel.selectExpr("node * 3 + 2", "t", "v")).unionAll(panel.where("node < 70").selectExpr("node * 3 + 1000", "t", "v"))
+    rows = tiles.stored(copies, "node", "t", "v")
+    classes = tiles.alike(rows)
+    of = tiles.members(rows, classes)
+    nodes = sorted(r.node for r in of.collect())
+    gap = lambda t: np.where(np.abs(t.a[:, None] - t.b[None, :]) <= 2, 0, np.where(np.abs(t.a[:, None] - t.b[None, :]) <= 21, 1, 2))
+    near = [(i, j, 0 if j - i <= 2 else 1) for i in nodes for j in nodes if 0 < j - i <= 21]
+    named = tiles.apart(classes, of, rows.sparkSession.createDataFrame(near, "i long, j long, part int"))
+    for few in (1 << 17, 2):
+        (q, s), (p, z) = tiles.quantiles(rows, [0.1, 0.95], gap, True, 8, few), tiles.quantiles(named, [0.1, 0.95], None, True, 8, few, 2)
+        assert q.keys() == p.keys() == {0, 1, 2} and all(np.allclose(q[g], p[g]) and np.allclose(s[g], z[g]) for g in q)
